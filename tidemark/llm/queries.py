@@ -5,10 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import lines, mixing, pseudonyms, sharding, simhash, topk
 from .common import table, utf8
 
 
+def op3_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return lines.drop_shared_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP3_SQL = r"""
+WITH parts AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+spread AS (SELECT trim(line) AS line, min(doc_id) AS keeper FROM parts WHERE trim(line) <> '' GROUP BY 1
+           HAVING count(DISTINCT coalesce('=' || source, '')) >= 5),
+bad AS (SELECT DISTINCT doc_id, s.line FROM parts p JOIN spread s ON trim(p.line) = s.line WHERE p.doc_id <> s.keeper),
+lists AS (SELECT doc_id, list(line) AS bad FROM bad GROUP BY doc_id),
+cut AS (SELECT d.doc_id, string_split(text, chr(10)) AS was, list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(bad, []), trim(x))) AS kept
+        FROM documents d LEFT JOIN lists l ON d.doc_id = l.doc_id)
+SELECT doc_id, coalesce(len(was), 0)::INT AS n_lines, coalesce(len(was) - len(kept), 0)::INT AS n_removed, array_to_string(kept, chr(10)) AS text FROM cut
+"""
+
+
+def op4_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"), 5)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = utf8("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -16,6 +51,21 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: A key for these test tables; a user passes a secret of their own.
+PSEUDONYM_KEY = "tidemark-test-key"
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymize(docs, PSEUDONYM_KEY)
+    return out.select("doc_id", F.coalesce(F.size("kinds"), F.lit(0)).alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"), "text")
+
+
+def op9_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), "doc_id")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -48,10 +98,16 @@ SELECT doc_id, size, source_size, target, ((floor(rn * each + shift) - floor((rn
 """
 
 QUERIES = {
+    "op3_shared_lines": op3_shared_lines,
+    "op4_branch_and_bound": op4_branch_and_bound,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
+    "op9_simhash_variants": op9_simhash_variants,
     "op10_systematic_mix": op10_systematic_mix,
 }
 
 ORACLES = {
+    "op3_shared_lines": OP3_SQL,
+    "op4_branch_and_bound": OP4_SQL,
     "op10_systematic_mix": OP10_SQL,
 }
