@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pseudonyms, sharding, simhash, topk
+from . import lines, mixing, pseudonyms, sharding, simhash, telephony, topk, toxicity
 from .common import table, utf8
 
 
+def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = utf8("text")
+    n = F.length(text)
+    padded = F.when(n == 0, 192).otherwise(F.ceil(n / 192) * 192).cast("int")
+    # Binary has no padding function on all lengths: spaces are appended as text, which is the same bytes.
+    payload = F.concat(text, F.encode(F.repeat(F.lit(" "), padded - n), "UTF-8"))
+    codec = F.element_at(F.array(*map(F.lit, (telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM))), (F.pmod(F.crc32(payload), F.lit(3)) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), payload.alias("p"), codec.alias("c"))
+    files = docs.select("doc_id", "n_bytes", telephony.telephony_media(F.col("p"), F.col("c")).alias("media"))
+    out = telephony.decode(files)
+    feature = F.concat_ws(":", "codec", F.col("rate").cast("string"), F.floor(F.length("pcm") / 2).cast("string"), F.crc32("pcm").cast("string"))
+    return out.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 def op3_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return lines.drop_shared_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -51,6 +68,23 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out() -> Column:
+    """Whether a document is kept out of learning."""
+    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5)) == 0
+
+
+def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, score) of docs; labels are those of documents that aren't held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs.select("doc_id", "text"), model)
+
+
+def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: A key for these test tables; a user passes a secret of their own.
 PSEUDONYM_KEY = "tidemark-test-key"
 
@@ -98,9 +132,11 @@ SELECT doc_id, size, source_size, target, ((floor(rn * each + shift) - floor((rn
 """
 
 QUERIES = {
+    "op1_telephony": op1_telephony,
     "op3_shared_lines": op3_shared_lines,
     "op4_branch_and_bound": op4_branch_and_bound,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
+    "op7_deobfuscated_toxicity": op7_deobfuscated_toxicity,
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_simhash_variants": op9_simhash_variants,
     "op10_systematic_mix": op10_systematic_mix,
