@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, pseudonyms, sharding, simhash, telephony, topk, toxicity
+from . import lines, mixing, packing, pseudonyms, sharding, simhash, telephony, topk, toxicity
 from .common import table, utf8
 
 
@@ -26,6 +26,16 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op3_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return lines.drop_shared_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -133,6 +143,7 @@ SELECT doc_id, size, source_size, target, ((floor(rn * each + shift) - floor((rn
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op2_configuration_packing": op2_configuration_packing,
     "op3_shared_lines": op3_shared_lines,
     "op4_branch_and_bound": op4_branch_and_bound,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
