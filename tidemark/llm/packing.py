@@ -30,7 +30,9 @@ by_value(__name__)
 MAX_LENGTH = 1024
 END_ID = 2
 #: Rounds of the multiplicative-weights method, its step, and how near the best a priced filling must be to count.
-ROUNDS, STEP, NEAR = 48, 0.5, 0.01
+ROUNDS, STEP, NEAR = 100, 0.2, 0.01
+#: The program is solved again for what a rounding leaves, so many times at most.
+PHASES = 4
 
 
 class Encoder:
@@ -201,36 +203,40 @@ def best_fit(left: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]
     return [b for bins in room.values() for b in bins]
 
 
-def _rounded(uses: list[tuple[tuple[int, ...], float]], counts: dict[int, int], cap: int, up: float, fill: bool) -> list[tuple[tuple[int, ...], int]]:
-    """Whole uses: the program's, rounded down from x + up; then (``fill``) its fillings without gaps; then best fit."""
-    left, out = dict(counts), []
-
-    def use(filling: tuple[int, ...], most: int) -> None:
-        per: dict[int, int] = defaultdict(int)
-        for x in filling:
-            per[x] += 1
-        times = min([most, *(left[x] // n for x, n in per.items())])
-        if times > 0:
-            out.append((filling, times))
-            for x, n in per.items():
-                left[x] -= n * times
-
-    for filling, x in uses:
-        use(filling, int(x + up))
-    for filling, _ in uses if fill else ():
-        if sum(filling) == cap:
-            use(filling, 1 << 62)
-    return out + best_fit(left, cap)
-
-
 def plan(counts: dict[int, int], cap: int = MAX_LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """Whole uses of fillings that hold exactly the counted lengths: the best of a few roundings of one fractional solution."""
-    counts = {int(k): int(n) for k, n in counts.items() if n}
-    if not counts:
-        return []
-    uses = sorted(fractional(counts, cap).items(), key=lambda kv: (-kv[1], kv[0]))
-    tries = (_rounded(uses, counts, cap, up, fill) for up in (0.0, 0.5) for fill in (True, False))
-    return min(tries, key=lambda fillings: sum(n for _, n in fillings))
+    """Whole uses of fillings that hold exactly the counted lengths.
+
+    Uses are scaled so that next to no length is covered more often than it
+    occurs, and rounded down; the program is solved again for the rest. The best
+    point to hand over to best fit is kept.
+    """
+    left = {int(k): int(n) for k, n in counts.items() if n}
+    done: list[tuple[tuple[int, ...], int]] = []
+    found: list[tuple[tuple[int, ...], int]] | None = None
+    for _ in range(PHASES):
+        left = {k: n for k, n in left.items() if n}
+        if not left:
+            break
+        uses, cover = fractional(left, cap), dict.fromkeys(left, 0.0)
+        for filling, x in uses.items():
+            for k in filling:
+                cover[k] += x
+        scale = 1 / max(1.0, float(np.quantile([cover[k] / n for k, n in left.items()], 0.98)))
+        used = 0
+        for filling, x in sorted(uses.items(), key=lambda kv: (-kv[1], kv[0])):
+            per = {k: filling.count(k) for k in set(filling)}
+            times = min([int(x * scale), *(left[k] // n for k, n in per.items())])
+            if times > 0:
+                done.append((filling, times))
+                used += times * sum(filling)
+                for k, n in per.items():
+                    left[k] -= n * times
+        now = done + best_fit(left, cap)
+        if found is None or sum(n for _, n in now) < sum(n for _, n in found):
+            found = now
+        if used < 0.05 * sum(k * n for k, n in left.items()):
+            break
+    return found or []
 
 
 def places(fillings: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
