@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, pseudonyms, sharding, simhash, telephony, topk, toxicity
+from . import lines, mixing, packing, pseudonyms, repeats, sharding, simhash, telephony, topk, toxicity
 from .common import table, utf8
 
 
@@ -71,6 +71,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op5_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = utf8("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -84,14 +89,13 @@ def held_out() -> Column:
 
 
 def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, score) of docs; labels are those of documents that aren't held out."""
+    """docs with score; learns from the labels of documents that aren't held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
-    model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs.select("doc_id", "text"), model)
+    return toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
 
 
 def op7_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    scored = toxic_scores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -146,6 +150,7 @@ QUERIES = {
     "op2_configuration_packing": op2_configuration_packing,
     "op3_shared_lines": op3_shared_lines,
     "op4_branch_and_bound": op4_branch_and_bound,
+    "op5_column_suffixes": op5_column_suffixes,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_deobfuscated_toxicity": op7_deobfuscated_toxicity,
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,

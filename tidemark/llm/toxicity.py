@@ -246,18 +246,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score): the probability that a text is toxic; null and empty texts score as texts without telling words."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """``docs`` with score: the probability that a text is toxic.
+
+    Null and empty texts score as texts without telling words. A column score is
+    replaced.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: CLASSES ** 3 counts, MAX_WORDS words
+    docs = docs.drop("score")
+    at, names = docs.columns.index(text), [*docs.columns, "score"]
 
     def run(batches):
         m = sent.value
         restorer, words, weights = Restorer(CharModel(m["grams"])), m["words"], m["weights"]
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(at).to_pylist():
                 x = _features([words[w] for w in _words(t, restorer) if w in words])
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x, strict=True)))))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=names)
 
-    return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
