@@ -3,18 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import lines, mixing, packing, simhash
 from tidemark.llm.common import materialize, table
+from tidemark.llm.queries import tokenizer_path, toxic_scores
 
-STAGES: list = []
 
-#: The stages draw on learned scores and packing; tests hold run() against brute force instead.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic (0.5 or more) after deobfuscation go."""
+    scored = toxic_scores(spark, docs, sf_dir)
+    return scored.filter(F.col("score") < 0.5).select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of five or more sources go from all documents but their first; no document goes."""
+    out = lines.drop_shared_lines(docs)
+    if "n_chars" in docs.columns:
+        changed = F.col("n_removed") > 0
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of SimHash near-duplicates the document of the least id stays.
+
+    Repeated rows of one id and text are one document. Documents without an id
+    stay where a whole group has none.
+    """
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once for each copy that the mix takes of it, or not at all."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    mixed = mixing.mix(docs, "doc_id", keep=rest).filter(F.col("copies") > 0)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL can't tell the learned scores, the fingerprints and the packing; tests hold run() against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{k}")
