@@ -197,9 +197,10 @@ def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
         "phone": _phone(m, key, undo),
         "card": _card(m, key, undo),
     }
+    told = lambda kind: lambda v: F.struct(F.when(v.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(v, m).alias("text"))
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
     for kind, value in reversed(made.items()):
-        out = F.when(whole(kind), _let(value, lambda v, k=kind: F.struct(F.when(v.isNotNull(), F.lit(k)).alias("kind"), F.coalesce(v, m).alias("text")))).otherwise(out)
+        out = F.when(whole(kind), _let(value, told(kind))).otherwise(out)
     return out
 
 
