@@ -54,10 +54,10 @@ class _Best:
         self.score[q], self.id[q] = score[order], ids[order]
 
 
-def _masses(m: np.ndarray, cuts: list[int]) -> np.ndarray:
-    """Norms over the dimensions from each cut on; one column per vector."""
+def _masses(m: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    """Norms over the dimensions from each cut on, of every vector."""
     squares = m.astype(np.float64) ** 2
-    return np.stack([np.sqrt(squares[c:].sum(axis=0)) for c in cuts])
+    return [np.sqrt(squares[c:].sum(axis=0)) for c in cuts]
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, best: _Best, at: np.ndarray) -> None:
