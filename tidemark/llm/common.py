@@ -3,56 +3,22 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize, shared_dir, table
+
+__all__ = ["by_value", "materialize", "shared_dir", "table", "utf8"]
+
 
 def by_value(module: str) -> None:
     """Send a module's functions to the executors whole, so that they need not have this package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where none is set (single-machine tests) a temporary one is made and
-    kept in the session's settings.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("tidemark.scratch.dir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            spark.conf.set("tidemark.scratch.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    This cuts the lineage in a way that survives the loss of any executor: the
-    rows that follow are read from files, not recomputed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def utf8(col: str | Column) -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
     c = F.col(col) if isinstance(col, str) else col
     return F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8")
-
-
-def unit_hash(*cols) -> Column:
-    """A fixed pseudo-random number in [0, 1) of the columns' values."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import connected_components
 from .common import by_value, materialize
-from .components import connected_components
 
 by_value(__name__)
 
