@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,29 @@ from tidemark.llm.common import materialize, table
 from tidemark.llm.queries import tokenizer_path, toxic_scores
 
 
+def keeping(*names: str):
+    """A stage whose operator adds columns of these names: the documents' own columns so named stand aside meanwhile."""
+
+    def wrap(stage):
+        @wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            aside = {c: f"_own_{c}" for c in docs.columns if c in names}
+            out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+            return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+
+        return run_stage
+
+    return wrap
+
+
+@keeping("score")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic (0.5 or more) after deobfuscation go."""
     scored = toxic_scores(spark, docs, sf_dir)
     return scored.filter(F.col("score") < 0.5).select(*docs.columns)
 
 
+@keeping("n_lines", "n_removed")
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of five or more sources go from all documents but their first; no document goes."""
     out = lines.drop_shared_lines(docs)
@@ -37,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
+@keeping("size", "source_size", "target", "copies")
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once for each copy that the mix takes of it, or not at all."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
