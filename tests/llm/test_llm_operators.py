@@ -482,7 +482,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         rows.append((k, t, "en", f"s{k % 6}", len(t)))
     rows += [(200, rows[1][1], "en", "s0", 1), (201, rows[2][1] + " x", "en", "s1", 1), (202, None, None, None, None), (203, "", "en", "s1", 0)]
     folder = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("score", "n_lines", "size", "copies", "target")})  # names that operators use
+    docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     now = spark.read.parquet(f"{folder}/documents.parquet")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "source_mixing", "best_fit_packing"]
@@ -491,6 +493,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         out = stage(spark, now, folder)
         assert k == 4 or out.columns == columns
         kept.append([tuple(r) for r in out.collect()])
+        assert k == 4 or {r[5:] for r in kept[-1]} == {("own score", "own n_lines", "own size", "own copies", "own target")}
         now = spark.createDataFrame(kept[-1], out.schema)
     clean = {r[0] for r in rows if "vilescum" not in (r[1] or "")}
     assert {r[0] for r in kept[0]} == clean
