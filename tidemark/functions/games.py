@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..plans.shipping import by_value
+
+by_value(__name__)
+
 
 def generator(seed: int):
     """Mulberry32: 32-bit state, numbers in [0, 1)."""
@@ -47,5 +50,3 @@ def choices_for(number: Column, ids: list[str]) -> Column:
 
     return F.when(number.isNotNull(), drawn(F.coalesce(number, F.lit(1))))
 
-
-cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])

@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shipping import by_value
 from .graph import connected_components
 
+by_value(__name__)
+
 
 def first_fit(rows: DataFrame, edges: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, cluster): each row, in order, joins the first cluster that holds a neighbour, or starts one.

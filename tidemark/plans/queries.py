@@ -387,12 +387,12 @@ def rotation_mod(spark, d):
     return table(spark, d, "orders").select("o_orderkey", sequences.rotation(n, 7, 3).cast("long").alias("place"))
 
 
-@query("""WITH d AS (SELECT u.user_id, x.d::DATE AS "day", count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 40) u, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) x(d)
+@query("""WITH d AS (SELECT u.user_id, x.d::DATE AS "day", count(e.event_id) AS n FROM (SELECT DISTINCT user_id FROM events) u, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) x(d)
   LEFT JOIN events e ON e.user_id = u.user_id AND e.ts::DATE = x.d::DATE GROUP BY 1, 2),
 b AS (SELECT *, sum((n <> 0)::INT) OVER (PARTITION BY user_id ORDER BY "day") AS blk FROM d)
 SELECT user_id, "day", n, sum((n = 0)::INT) OVER (PARTITION BY user_id, blk ORDER BY "day")::BIGINT AS empty, sum((n = 0)::INT) OVER (PARTITION BY user_id, blk ORDER BY "day") = 2 AS alert FROM b""")
 def consecutive_empty_runs(spark, d):
-    e = table(spark, d, "events").filter("user_id < 40").select("user_id", day("ts").alias("day"))
+    e = table(spark, d, "events").select("user_id", day("ts").alias("day"))
     grid = e.select("user_id").distinct().withColumn("day", F.explode(F.sequence(lit_day("2024-01-01"), lit_day("2024-01-30"))))
     n = grid.join(e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n")), ["user_id", "day"], "left").na.fill(0, ["n"])
     return sequences.empty_runs(n, ["user_id"], "day", "n")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities
+from ..plans.shipping import by_value
+
+by_value(__name__)
 
 #: Pages longer than this are cut; shorter than MIN they count as empty.
 MOST, LEAST = 40_000, 200

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.dates import calendar_window, to_utc
+from ..plans.shipping import by_value
+
+by_value(__name__)
 
 
 def escaped(text: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.shipping import by_value
+
+by_value(__name__)
+
 
 def first_seen(stream: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
     """Each key once within the watermark's reach."""
