@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value
+from .common import by_value, materialize
 
 by_value(__name__)
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l"}
 #: Channel costs (negative log probabilities): a sign for a letter; a letter's second and further copies, a separator and any other sign dropped.
-SUBSTITUTE, DROP_SECOND, DROP_FURTHER, DROP_SEPARATOR, DROP_SIGN = 0.7, 2.5, 0.2, 0.3, 9.0
+SUBSTITUTE, DROP_SECOND, DROP_FURTHER, DROP_SEPARATOR, DROP_SIGN = 0.7, 4.0, 0.2, 0.3, 9.0
+#: A vowel behind a star.
+HIDDEN = 1.6
 #: Letters of the character model: a-z and Latin-1's small letters; all else is the boundary, class 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 CLASSES = len(ALPHABET) + 1
@@ -35,9 +37,24 @@ CLASSES = len(ALPHABET) + 1
 MAX_LABELLED, MAX_WORDS = 100_000, 50_000
 
 _WORD = re.compile(r"[^\W\d_]{3,32}")
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0-9@$!|+€£*_.-]+[^\W\d_]|[0-9@$|+€£]+[^\W\d_])[^\s,;:?\"()]{0,40}")
 _SPACED = re.compile(r"(?<![^\s])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_](?![^\W_])){2,24}")
-_REPEAT = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+#: Where a span ends, and what is cut off its ends.
+_EDGES, _TRIM = frozenset(" \t\n\r\x0b\x0c,;:?\"()"), ".!*_-"
+#: Longer spans are left as they are.
+MOST = 64
+#: Kinds of characters: others, letters, signs that stand for letters, separators.
+_LETTER, _SIGN, _SEPARATOR = 1, 2, 3
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(0x2100, np.uint8)
+    for k in range(len(kinds)):
+        c = chr(k)
+        kinds[k] = _LETTER if c.isalpha() else _SIGN if c in LEET and c != "!" else _SEPARATOR if c in "!*_.-" else 0
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 def _codes(text: str) -> np.ndarray:
@@ -88,6 +105,8 @@ class CharModel:
         for x in span:
             if x in code:
                 ways = [(x, 0.0)] + ([("", DROP_FURTHER if x == before else DROP_SECOND)] if x == last else [])
+            elif x == "*":
+                ways = [(y, HIDDEN) for y in "aeiou"] + [("", DROP_SEPARATOR)]
             elif x in LEET:
                 ways = [(y, SUBSTITUTE) for y in LEET[x]] + [("", DROP_SIGN)]
             elif x.isalpha():
@@ -116,9 +135,9 @@ class Restorer:
         self.model, self.room, self.seen = model, room, {}
 
     def _decoded(self, m: re.Match) -> str:
-        span = m[0]
-        if len(span) > 64:
-            return span
+        return self.decode(m[0])
+
+    def decode(self, span: str) -> str:
         got = self.seen.get(span)
         if got is None:
             if len(self.seen) >= self.room:
@@ -126,11 +145,48 @@ class Restorer:
             got = self.seen[span] = self.model.decode(span)
         return got
 
+    @staticmethod
+    def _look(text: str) -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return points, _KINDS[np.minimum(points, 0x20FF)]
+
     def restore(self, text: str) -> str:
+        """The text in lower case with its obfuscated spans decoded."""
         text = text.lower()
-        for pattern in (_SPACED, _MIXED, _REPEAT):
-            text = pattern.sub(self._decoded, text)
-        return text
+        if len(text) < 3:
+            return text
+        points, kind = self._look(text)
+        letter = kind == _LETTER
+        single = letter.copy()
+        single[1:] &= (kind[:-1] != _LETTER) & (kind[:-1] != _SIGN)
+        single[:-1] &= (kind[1:] != _LETTER) & (kind[1:] != _SIGN)
+        at = np.flatnonzero(single)
+        if len(at) > 2 and (at[2:] - at[:-2] <= 6).any():
+            text = _SPACED.sub(self._decoded, text)
+            points, kind = self._look(text)
+            letter = kind == _LETTER
+        # A sign before a letter, a star between letters, a letter between separators, a letter three times.
+        hit = np.zeros(len(kind), bool)
+        hit[:-1] = (kind[:-1] == _SIGN) & letter[1:]
+        hit[1:-1] |= letter[:-2] & letter[2:] & (points[1:-1] == ord("*"))
+        hit[1:-1] |= letter[1:-1] & (kind[:-2] == _SEPARATOR) & (kind[2:] == _SEPARATOR)
+        hit[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])
+        out, done = [], 0
+        for k in np.flatnonzero(hit).tolist():
+            if k < done:
+                continue
+            a, b = k, k
+            while a > done and k - a <= MOST and text[a - 1] not in _EDGES:
+                a -= 1
+            while b < len(text) and b - k <= MOST and text[b] not in _EDGES:
+                b += 1
+            span = text[a:b]
+            core = span.strip(_TRIM)
+            if len(core) <= MOST:
+                got = self.decode(core)
+                out += [text[done:a], span.replace(core, got, 1)]
+                done = b
+        return "".join([*out, text[done:]]) if out else text
 
 
 def _words(text: str | None, restorer: Restorer) -> set[str]:
@@ -196,8 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = labels.count()
     if n > max_labelled:
         labels = labels.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    rows = docs.select(key, text).filter(F.length(text) > 0).join(labels, key)
-    rows = rows.groupBy(F.xxhash64(text).alias("_h"), F.length(text).alias("_n")).agg(F.max(F.struct("_y", text)).alias("_r")).select("_h", "_r._y", F.col(f"_r.{text}").alias(text))
+    # Labels are some max_labelled small rows now, so they go to the texts and no text is exchanged.
+    texts = docs.select(key, text).filter(F.length(text) > 0)
+    known = texts.select(key, F.xxhash64(text).alias("_h")).join(F.broadcast(labels), key)
+    chosen = known.groupBy("_h").agg(F.min_by(F.struct(key, "_y"), key).alias("_r"), F.max("_y").alias("_y")).select(F.col(f"_r.{key}").alias(key), "_h", "_y")
+    chosen = materialize(chosen, "labelled")
+    rows = texts.join(F.broadcast(chosen), key).select("_h", "_y", text)
 
     def count(batches):
         restorer = Restorer(CharModel(sent.value))
@@ -212,13 +272,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     seen = rows.mapInArrow(count, "word string, half int, y int, n long")
     case = lambda y, half: F.sum(F.when((F.col("y") == y) & (F.col("half") == half), F.col("n")).otherwise(0))
     tally = seen.groupBy("word").agg(case(1, 0).alias("p0"), case(0, 0).alias("n0"), case(1, 1).alias("p1"), case(0, 1).alias("n1"))
-    tally = tally.persist()
+    tally = materialize(tally, "words")
     docs_row = tally.filter("word = ''").first() or (None, 0, 0, 0, 0)
     n_words = tally.count()
     # Only words that could be telling come to the driver: their number is bounded below by MAX_WORDS of the best.
     lean = F.expr("(p0 + p1) / greatest(1, p0 + p1 + n0 + n1)")
     best = tally.filter((F.col("word") != "") & (F.expr("p0 + p1") >= 3) & (lean >= 0.3)).orderBy(F.expr("-(p0 + p1) * ln(1 + (p0 + p1) / (1 + n0 + n1))"), "word").limit(MAX_WORDS).collect()
-    tally.unpersist()
     _, p0, n0, p1, n1 = docs_row
     total = p0 + n0 + p1 + n1
     model = {"grams": grams, "words": {}, "weights": [math.log((p0 + p1 + 0.5) / (n0 + n1 + 0.5)) if total else 0.0, 0.0, 0.0, 0.0]}
