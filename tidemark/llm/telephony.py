@@ -27,7 +27,7 @@ RATE = 8000
 #: Bytes of nibbles in an ADPCM block of ours; four header bytes stand before them.
 NIBBLES = 192
 #: Bytes of media decoded at once in a task.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Fixed values of the IMA ADPCM format: how a code moves the step index.
 INDEX_MOVES = [-1, -1, -1, -1, 2, 4, 6, 8, -1, -1, -1, -1, 2, 4, 6, 8]
 #: Fixed values of the IMA ADPCM format: the quantizer's steps.
