@@ -79,7 +79,7 @@ def test_prices(value):
         assert value(prices.price_band(F.lit(said))) == band, said
     assert value(prices.tidy_euros(F.lit("20€ – 60,00€"))) == "€20–€60"
     assert value(prices.price_label(F.lit("tickets"), "en")) == "Ticketed" and value(prices.price_label(F.lit("free"), "pt")) == "Gratuito"
-    for now, before, want in ((5, 0, "new"), (0, 0, "-"), (3, 2, "+50%"), (1, 8, "-87%")):
+    for now, before, want in ((5, 0, "new"), (0, 0, "—"), (999, 1000, "+0%"), (3, 2, "+50%"), (1, 8, "-87%")):
         assert value(prices.percent_change(F.lit(now), F.lit(before))) == want
 
 
@@ -119,6 +119,16 @@ def test_urls(value):
     got = u(urls.url_language, "https://x.pt/en/event/foo")
     assert (got["lang"], got["page"]) == ("en", "x.pt/event/foo")
     assert u(urls.is_listing, "https://x.pt/eventos") and u(urls.is_listing, "x") and not u(urls.is_listing, "https://x.pt/evento/a")
-    assert u(urls.is_real, "https://x.pt/a") and not u(urls.is_real, "https://example.com/a") and not u(urls.is_real, "text")
+    assert u(urls.is_real, "https://x.pt/a") and not u(urls.is_real, "https://www.google.com/a") and not u(urls.is_real, "https://google.es/search?q=x") and u(urls.is_real, "https://google.es/x") and not u(urls.is_real, "text")
     assert value(urls.is_guessed(F.lit("https://x.pt/b"), arr("https://x.pt/a"))) and not value(urls.is_guessed(F.lit("https://x.pt/a?z"), arr("https://x.pt/a/")))
     assert value(urls.number_after(F.lit("https://feverup.com/m/123"), r"feverup\.com", "/m/([0-9]+)")) == "123"
+
+
+def test_small_forms(value):
+    assert value(text.clean_path(F.lit("/blog/a-b?x#y"))) == "/blog/a-b" and value(text.clean_path(F.lit("http://x"))) == "unknown"
+    assert value(text.post_slug(F.lit("Café & Jazz: 10 places!"))) == "caf-jazz-10-places"
+    assert value(dates.kickoff(F.lit("2026-07-01 11:00:00"))) is None and value(dates.kickoff(F.lit("2026-07-01 19:30:00"))) == "2026-07-01T20:30"
+    assert value(prices.catalog_price(F.lit(322.5), F.lit("EUR"), F.lit(False))) == "From €322.50" and value(prices.catalog_price(F.lit(5.0), F.lit(None).cast("string"), F.lit(False))) is None
+    words = lambda n: text.name_tokens(F.lit(n), stop=text.SCAN_STOP_WORDS, folded={})
+    similar = lambda a, b: value(text.similar_tokens(words(a), words(b), text.kebab(F.lit(a)), text.kebab(F.lit(b))))
+    assert similar("Blue Moon", "Blue Moon Rising High") and not similar("Blue", "Blue Moon") and similar("Live", "live") and not similar("Live", "Tour")

@@ -216,10 +216,9 @@ def minutes_to_midnight(instant: Column | str, zone: str = ZONE) -> Column:
     return 1440 - (F.hour(w) * 60 + F.minute(w))
 
 
-def kickoff(wall: Column | str, placeholder: str = "00:00") -> Column:
-    """A start time, null for the slot that stands for none."""
-    t = clock(wall)
-    return F.when(t != placeholder, t)
+def kickoff(instant: Column | str, placeholder: str = "11:00:00", zone: str = ZONE) -> Column:
+    """A start as wall-clock text, null for the UTC slot that stands for none."""
+    return F.when(F.date_format(col(instant).cast("timestamp_ntz"), "HH:mm:ss") != placeholder, local_wall(instant, zone))
 
 
 def last_fire(now: Column | str, weekday: int, minute: int) -> Column:

@@ -69,8 +69,9 @@ def price_label(price: Column | str, lang: str) -> Column:
 
 def catalog_price(price: Column | str, currency: Column | str, free: Column | str) -> Column:
     """Free, an amount in euros, or null for other currencies."""
-    amount = F.concat(F.lit("€"), F.regexp_replace(F.format_number(col(price), "0.00"), r"\.00$", ""))
-    return F.when(col(free), "Free").when(col(price).isNotNull() & (F.coalesce(col(currency), F.lit("EUR")) == "EUR"), F.concat(F.lit("From "), amount))
+    n = col(price).cast("double")
+    amount = F.concat(F.lit("€"), F.when(n % 1 == 0, n.cast("long").cast("string")).otherwise(F.format_string("%.2f", n)))
+    return F.when(col(free), "Free").when(col(price).isNotNull() & (col(currency) == "EUR"), F.concat(F.lit("From "), amount))
 
 
 def pick_score(candidate: Column | str, real_link: Column | str, image: Column | str) -> Column:
@@ -85,7 +86,7 @@ def rounded(x: Column) -> Column:
 
 
 def percent_change(now: Column | str, before: Column | str) -> Column:
-    """+12%, -3%, "new" from nothing, "-" for nothing from nothing."""
+    """+12%, -3%, "new" from nothing, a dash for nothing from nothing."""
     n, b = col(now), col(before)
-    p = rounded((n - b) / b * 100).cast("string")
-    return F.when((b == 0) & (n == 0), "-").when(b == 0, "new").when(n >= b, F.concat(F.lit("+"), p, F.lit("%"))).otherwise(F.concat(p, F.lit("%")))
+    p = rounded((n - b) / F.nullif(b, F.lit(0)) * 100)
+    return F.when((b == 0) & (n > 0), "new").when(b == 0, "—").otherwise(F.concat(F.when(p >= 0, "+").otherwise(""), p.cast("string"), F.lit("%")))

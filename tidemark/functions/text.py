@@ -14,6 +14,8 @@ STOP_WORDS = (
     "porto oporto exhibition exhibit exposicao exposicion expo mostra show retrospective retrospectiva "
     "opening inauguracao vernissage final last days chance closing"
 ).split()
+#: The shorter list of the looser name test.
+SCAN_STOP_WORDS = "the a and of in at porto o de da do das dos e em no na live tour festival concert concerto exhibition exposicao".split()
 #: Spellings folded to one form.
 FOLDED = {
     "sinfonia": "symphony", "sinfonica": "symphony", "symphonic": "symphony", "orgao": "organ", "orquestra": "orchestra", "orquesta": "orchestra",
@@ -175,10 +177,11 @@ def same_name(a: Column | str, b: Column | str) -> Column:
 
 
 def similar_tokens(a: Column | str, b: Column | str, slug_a: Column | str, slug_b: Column | str) -> Column:
-    """The scan's looser test: half or more shared of the smaller set; without words, equal slugs."""
+    """The scan's looser test: Jaccard 0.6 or more, two or more shared with one within the other, or equal; without words, equal slugs."""
     a, b = col(a), col(b)
-    both, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
-    return F.when(least <= 0, col(slug_a) == col(slug_b)).otherwise(both / least >= 0.6)
+    both, na, nb = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
+    within = both == F.least(na, nb)
+    return F.when((na <= 0) | (nb <= 0), col(slug_a) == col(slug_b)).otherwise((both / (na + nb - both) >= 0.6) | (within & (both >= 2)) | (within & (na == nb)))
 
 
 def _group(c: Column, pattern: str, k: int) -> Column:
@@ -266,14 +269,15 @@ def week_slug(text: Column | str) -> Column:
 
 
 def post_slug(title: Column | str, most: int = 60) -> Column:
-    """A title as a slug of at most ``most`` characters."""
-    return F.regexp_replace(F.left(kebab(title), F.lit(most)), "-+$", "")
+    """A title as a slug of at most ``most`` characters; other letters than a-z go."""
+    bare = F.regexp_replace(F.lower(col(title)), r"[^a-z0-9_\s-]", "")
+    return F.left(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", "-"), "-+", "-")), F.lit(most))
 
 
 def clean_path(source: Column | str) -> Column:
-    """A local path without query and fragment, null for anything else."""
-    path = F.element_at(F.split(col(source), "[?#]"), 1)
-    return F.when(path.rlike(r"^/[A-Za-z0-9/_.-]{0,199}$"), path)
+    """A local path without query and fragment, at most 200 characters; unknown for anything else."""
+    path = F.left(F.element_at(F.split(col(source), "[?#]"), 1), F.lit(200))
+    return F.when(path.rlike(r"^/[A-Za-z0-9_./%-]*$"), path).otherwise("unknown")
 
 
 def lead_key(day: Column | str, name: Column | str, venue: Column | str) -> Column:

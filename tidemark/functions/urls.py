@@ -100,10 +100,10 @@ def is_listing(url: Column | str) -> Column:
 
 
 def is_real(url: Column | str) -> Column:
-    """http(s) with a dotted host that is no placeholder."""
-    host = bare_host(url)
-    ok = F.lower(_part(url, "PROTOCOL")).isin("http", "https") & host.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$") & ~host.rlike(r"(^|\.)(example\.(com|org|net)|localhost)$")
-    return F.coalesce(ok, F.lit(False))
+    """An http(s) URL that is no search engine's."""
+    host, path = F.lower(_part(url, "HOST")), F.coalesce(_part(url, "PATH"), F.lit(""))
+    engine = host.rlike(r"(^|\.)google\.(com|pt)$") | (F.contains(host, F.lit("google.")) & F.startswith(path, F.lit("/search")))
+    return F.coalesce(F.lower(_part(url, "PROTOCOL")).isin("http", "https") & ~engine, F.lit(False))
 
 
 def is_fetchable(url: Column | str) -> Column:

@@ -349,7 +349,7 @@ def period_delta(spark, d):
 
 
 @query("""WITH t AS (SELECT event_type, count(*) FILTER (ts::DATE BETWEEN DATE '2024-01-24' AND DATE '2024-01-30') AS now, count(*) FILTER (ts::DATE BETWEEN DATE '2024-01-17' AND DATE '2024-01-23') AS before FROM events GROUP BY 1)
-SELECT event_type, now, before, CASE WHEN before = 0 AND now = 0 THEN '-' WHEN before = 0 THEN 'new' ELSE CASE WHEN now >= before THEN '+' ELSE '' END || floor((now - before) / before * 100 + 0.5)::BIGINT || '%' END AS change FROM t""")
+SELECT event_type, now, before, CASE WHEN before = 0 AND now > 0 THEN 'new' WHEN before = 0 THEN '—' ELSE CASE WHEN floor((now - before) / before * 100 + 0.5) >= 0 THEN '+' ELSE '' END || floor((now - before) / before * 100 + 0.5)::BIGINT || '%' END AS change FROM t""")
 def pct_change(spark, d):
     e = table(spark, d, "events").select("event_type", day("ts").alias("day"))
     t = reports.two_periods(e, ["event_type"], "day", F.lit(1), lit_day("2024-01-30"), 7)

@@ -14,13 +14,13 @@ from ..plans.shipping import by_value
 
 by_value(__name__)
 
-#: Pages longer than this are cut; shorter than MIN they count as empty.
+#: Texts longer than MOST are cut; of LEAST characters or fewer they count as none.
 MOST, LEAST = 40_000, 200
 
 
 def page_text(html: Column, most: int | None = MOST) -> Column:
     """Visible text of a page."""
-    out = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|svg)\b.*?</\1>", " ")
+    out = F.regexp_replace(html, r"(?is)<(script|style|noscript).*?</\1>", " ")
     out = F.regexp_replace(out, r"(?is)<[^>]+>", " ")
     out = F.trim(F.regexp_replace(decode_entities(out), r"\s+", " "))
     return F.left(out, F.lit(most)) if most else out
@@ -29,7 +29,7 @@ def page_text(html: Column, most: int | None = MOST) -> Column:
 def page_record(html: Column) -> Column:
     """struct(text, reason): the text, or why there is none (S26, E02's gate)."""
     t = page_text(html)
-    return F.when(F.length(t) >= LEAST, F.struct(t.alias("text"), F.lit(None).cast("string").alias("reason"))).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.lit("too little text ("), F.length(t).cast("string"), F.lit(")")).alias("reason")))
+    return F.when(F.length(t) > LEAST, F.struct(t.alias("text"), F.lit(None).cast("string").alias("reason"))).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.lit("too little text ("), F.length(t).cast("string"), F.lit(")")).alias("reason")))
 
 
 def title_of(html: Column) -> Column:
