@@ -167,7 +167,7 @@ def test_calendar_documents(spark):
     text = df.select(sinks.ics(c("slug"), c("title"), c("about"), c("place"), c("url"), c("start"), c("end"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"), "x.pt", "-//T//EN").alias("x")).first()["x"]
     lines = text.split("\r\n")
     assert all(len(x.encode()) <= 75 for x in lines) and lines[-1] == "" and "DTSTART:20260701T200000Z" in lines and "DTEND:20260701T220000Z" in lines
-    assert "SUMMARY:Árvore\; a\\, b " + "ç" * 80 in text.replace("\r\n ", "")
+    assert "SUMMARY:Árvore\\; a\\, b " + "ç" * 80 in text.replace("\r\n ", "")
     got = df.select(sinks.split_messages(F.array(*(F.lit(x * 4) for x in "abcd")), 9).alias("m")).first()["m"]
     assert got == ["aaaa\nbbbb", "cccc\ndddd"]
     doc = json.loads(df.select(sinks.event_document(c("title"), c("start"), c("end"), c("place"), c("about"), F.lit(5.0), F.lit(None).cast("string"), c("url")).alias("d")).first()["d"])
@@ -191,10 +191,10 @@ def test_streams(spark, tmp_path):
     run(state.first_seen(stream(), ["k"], "at", "1 hour").select("k"), "seen", "append")
     assert sorted(r["k"] for r in spark.table("seen").collect()) == ["a", "b"]
     check = str(tmp_path / "c")
-    go = lambda: state.retries(stream(), "k", "ok").writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start().awaitTermination(120)
-    go()
+    go = lambda: state.retries(stream(), "k", "ok", "at").writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).trigger(availableNow=True).start().awaitTermination(120)
+    assert go()
     put(1, [("a", False, "2026-01-01 11:00:00")])
-    go()
+    assert go()
     assert {(r["k"], r["attempts"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2, "pending"), ("b", 0, "done"), ("a", 3, "rejected")}
     state.upsert_each_batch(stream(), str(tmp_path / "t"), ["k"], "at", str(tmp_path / "c2")).awaitTermination(120)
     last = spark.read.parquet(str(tmp_path / "t" / "version=0"))

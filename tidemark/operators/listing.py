@@ -38,10 +38,10 @@ def canonical_venues(df: DataFrame, venue: str, aliases: DataFrame) -> DataFrame
 
     stages = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), before_stage))
     tries = F.concat(F.array(second, own), stages)
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    found = keyed.select("_row", F.posexplode(tries).alias("_n", "_try")).join(aliases.select(F.col("alias").alias("_try"), "canonical"), "_try")
-    best = found.groupBy("_row").agg(F.min_by("canonical", "_n").alias("canonical"))
-    return keyed.join(best, "_row", "left").withColumn("venue_slug", F.coalesce("canonical", own)).drop("_row", "canonical")
+    said = df.select(venue).filter(F.col(venue).isNotNull()).distinct()  # a venue is looked up once, however many rows name it
+    found = said.select(F.col(venue).alias("_said"), F.posexplode(tries).alias("_n", "_try")).join(aliases.select(F.col("alias").alias("_try"), F.col("canonical").alias("_canonical")), "_try")
+    best = found.groupBy("_said").agg(F.min_by("_canonical", "_n").alias("_canonical"))
+    return df.join(best, F.col(venue) == F.col("_said"), "left").withColumn("venue_slug", F.coalesce("_canonical", own)).drop("_said", "_canonical")
 
 
 def listing_rows(events: DataFrame, lang: str = "en") -> DataFrame:

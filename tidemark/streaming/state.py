@@ -29,10 +29,12 @@ def sessions(stream: DataFrame, at: str, late: str, gap: str, by: list[str]) ->
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def retries(stream: DataFrame, key: str, ok: str, most: int = 3, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+def retries(stream: DataFrame, key: str, ok: str, at: str, late: str = "1 day", most: int = 3, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
     """(key, attempts, status) after each batch: done, pending, or rejected at ``most`` failures.
 
-    State is dropped on success, on rejection and after ``ttl_ms`` without news.
+    State is dropped on success, on rejection and ``ttl_ms`` after the last news
+    by the time ``at`` that the rows carry, so a run over all that is there ends
+    and reruns agree.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,8 +42,9 @@ def retries(stream: DataFrame, key: str, ok: str, most: int = 3, ttl_ms: int = 7
             state.remove()
             return
         n = state.get[0] if state.exists else 0
-        status = "pending"
+        status, news = "pending", 0
         for pdf in batches:
+            news = max(news, int(pdf[at].max().timestamp() * 1000))
             for good in pdf[ok]:
                 if status != "pending":
                     break
@@ -52,13 +55,14 @@ def retries(stream: DataFrame, key: str, ok: str, most: int = 3, ttl_ms: int = 7
                     status = "rejected" if n >= most else "pending"
         if status == "pending":
             state.update((n,))
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(max(news, state.getCurrentWatermarkMs()) + ttl_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame({key: [k[0]], "attempts": [n], "status": [status]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, attempts int, status string", "attempts int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark(at, late).groupBy(key)
+    return timed.applyInPandasWithState(step, f"{key} {kind}, attempts int, status string", "attempts int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_each_batch(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
