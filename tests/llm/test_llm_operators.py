@@ -509,3 +509,26 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert Counter(r[0] for r in kept[3]) == Counter(r[0] for r in kept[4] if r[1] == 0)
     assert {hashlib.sha256(str(r[:5]).encode()).hexdigest() for r in kept[4]}
     assert len(pipeline.run(spark, folder).collect()) == len(kept[4])
+
+
+def test_long_runs_connect_the_same(monkeypatch):
+    from tidemark.llm import simhash
+
+    def components(pairs, nodes):
+        root = {int(x): int(x) for x in nodes}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*(side.tolist() for side in pairs), strict=True):
+            assert ((a ^ b) & (2**64 - 1)).bit_count() <= 4
+            root[find(a)] = find(b)
+        return {frozenset(y for y in root if find(y) == find(x)) for x in root}
+
+    rng = np.random.default_rng(3)
+    near = [int(x) ^ (1 << int(rng.integers(43))) for x in rng.integers(0, 2**43, 40) for _ in range(4)]
+    fp = np.unique(np.array([*near, *rng.integers(0, 2**43, 400), *range(64)], np.int64))
+    monkeypatch.setattr(simhash, "DENSE", 16)
+    assert components(simhash.split_forest(fp), fp) == components(simhash.forest(fp), fp)

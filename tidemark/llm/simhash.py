@@ -31,6 +31,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 #: Texts longer than this are cut into words piecewise.
 LONG = 1 << 22
+#: Runs of more fingerprints are cut further; for shorter ones comparing all is quicker.
+DENSE = 1 << 15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -95,6 +97,26 @@ def forest(fp: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x or [none]).view(np.int64) for x in (heads, ends))
 
 
+def split_forest(fp: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what ``forest`` connects, for long runs.
+
+    The bits in which the run varies are cut into most + 1 groups. Two linked
+    fingerprints agree in one of them, so only those that do are compared.
+    """
+    if len(fp) <= DENSE:
+        return forest(fp, most)
+    x = fp.view(np.uint64)
+    varying = int(np.bitwise_or.reduce(x ^ x[0]))
+    found = []
+    for bits in np.array_split([k for k in range(64) if varying >> k & 1], most + 1):
+        value = x & np.uint64(sum(1 << int(k) for k in bits))
+        order = np.argsort(value, kind="stable")
+        for group in np.split(x[order], np.flatnonzero(np.diff(value[order])) + 1):
+            if len(group) > 1:
+                found.append((forest if 2 * len(group) > len(x) else split_forest)(group.view(np.int64), most))
+    return tuple(np.concatenate([np.empty(0, np.int64), *side]) for side in zip(*found, strict=True)) if found else forest(fp[:0], most)
+
+
 def _run_links(batches, most: int):
     """Sorted (sig, fp) batches to links; a run of equal signatures may span batches."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -114,7 +136,7 @@ def _run_links(batches, most: int):
             a.append(fp[i])
             b.append(fp[i + lag])
         for k in np.flatnonzero(lengths > 8):
-            heads, ends = forest(fp[starts[k] : starts[k] + lengths[k]], most)
+            heads, ends = split_forest(fp[starts[k] : starts[k] + lengths[k]], most)
             a.append(heads)
             b.append(ends)
         if not a:
