@@ -238,8 +238,8 @@ def clip(text: Column | str, most: int) -> Column:
     return F.when(F.length(col(text)) <= most, col(text)).otherwise(F.concat(F.regexp_replace(body, r"[\s,.;:—–-]+$", ""), F.lit("…")))
 
 
-def humanize(text: Column | str, title: bool = False) -> Column:
-    """Straight quotes, and long dashes to commas, colons or hyphens."""
+def humanize(text: Column | str, title: bool = False, html: bool = False) -> Column:
+    """Straight quotes, and long dashes to commas, colons or hyphens (X21); in HTML line breaks are no borders."""
     steps = [
         (r"[“”„‟″]|&ldquo;|&rdquo;|&bdquo;|&#822[01];", '"'),
         (r"[‘’‚‛′]|&lsquo;|&rsquo;|&sbquo;|&#821[67];", "'"),
@@ -253,7 +253,8 @@ def humanize(text: Column | str, title: bool = False) -> Column:
     ]
     out = col(text)
     for pattern, to in steps:
-        out = F.regexp_replace(out, pattern, to)
+        if not (html and pattern.startswith("(?m)")):
+            out = F.regexp_replace(out, pattern, to)
     if title:
         single = F.length(out) - F.length(F.replace(out, F.lit("—"), F.lit(""))) == 1
         out = F.when(single, F.regexp_replace(out, r"\s*—\s*", ": ")).otherwise(out)

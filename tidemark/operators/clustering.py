@@ -12,9 +12,11 @@ from .graph import connected_components
 by_value(__name__)
 
 
-def first_fit(rows: DataFrame, edges: DataFrame, key: str, order: list[str]) -> DataFrame:
+def first_fit(rows: DataFrame, edges: DataFrame, key: str, order: list[str], members: bool = True) -> DataFrame:
     """(key, cluster): each row, in order, joins the first cluster that holds a neighbour, or starts one.
 
+    Without ``members`` only a cluster's first row draws others.
+
     A cluster never reaches beyond a connected component, so components are found
     first and the greedy pass, which depends on order, runs inside each. A
     component's rows and links meet in one task: blocks keep them small.
@@ -29,7 +31,7 @@ def first_fit(rows: DataFrame, edges: DataFrame, key: str, order: list[str]) ->
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, heads, taken = pdf.sort_values("n"), [], {}
         for k, near in zip(pdf[key], pdf["near"], strict=True):
-            open_ = [heads.index(taken[x]) for x in near if x in taken]
+            open_ = [heads.index(taken[x]) for x in near if x in taken and (members or taken[x] == x)]
             taken[k] = heads[min(open_)] if open_ else k
             if not open_:
                 heads.append(k)

@@ -64,16 +64,16 @@ def organizer_offer(category: Column, start: Column, end: Column, venue_slug: Co
     return ~sold_here & (category != "sports") & (last >= today) & (F.datediff(last, start) <= 3) & ~excluded & ~t.is_vague_venue(venue_slug) & ~big
 
 
-def low_click_rate(df: DataFrame, impressions: str, rate: str, least: int = 40, most: float = 0.02, n: int = 15) -> DataFrame:
-    """Pages often shown and seldom opened, the most shown first."""
-    return df.filter((F.col(impressions) >= least) & (F.col(rate) < most)).orderBy(F.desc(impressions)).limit(n)
+def low_click_rate(df: DataFrame, impressions: str, rate: str, least: int = 40, most: float = 0.02, n: int = 15, ties: list[str] = ()) -> DataFrame:
+    """Pages often shown and seldom opened, the most shown first, then by ``ties``."""
+    return df.filter((F.col(impressions) >= least) & (F.col(rate) < most)).orderBy(F.desc(impressions), *ties).limit(n)
 
 
-def still_on(df: DataFrame, start: str, end: str, today: Column, buffer_days: int, n: int) -> DataFrame:
+def still_on(df: DataFrame, start: str, end: str, today: Column, buffer_days: int, n: int, ties: list[str] = ()) -> DataFrame:
     """Rows still on some days from now: those that start first, then ongoing ones that end soonest."""
     last = F.coalesce(F.col(end), F.col(start))
     later = F.col(start) >= today
-    return df.filter(last >= F.date_add(today, buffer_days)).orderBy(F.when(later, 0).otherwise(1), F.when(later, F.col(start)).otherwise(last)).limit(n)
+    return df.filter(last >= F.date_add(today, buffer_days)).orderBy(F.when(later, 0).otherwise(1), F.when(later, F.col(start)).otherwise(last), *ties).limit(n)
 
 
 def toggled(items: Column, item: Column) -> Column:
