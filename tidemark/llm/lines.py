@@ -27,6 +27,7 @@ def shared_lines(df: DataFrame, key: str, text: str, site: str, min_sites: int)
     lines = df.select(F.col(key).alias("_key"), F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("_site"), F.explode(hashes).alias("line"))
     # A line of fewer documents has fewer sites: a plain count rules most lines out before any sketch is made.
     often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_sites).select("line")
+    often = materialize(often, "lines-often")  # a plain exchange on both sides, so that Spark can split a hot line in the join
     hits = materialize(lines.join(often, "line", "left_semi"), "lines")
     sketches = hits.groupBy("line").agg(F.hll_sketch_agg("_site", LG_K).alias("_sketch"), F.min("_key").alias("keeper"))
     spread = sketches.select("line", "keeper", F.hll_sketch_estimate("_sketch").alias("sites"))
