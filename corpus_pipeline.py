@@ -45,12 +45,12 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document of the least id stays.
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the least id stays.
 
     Repeated rows of one id and text are one document. Documents without an id
     stay where a whole group has none.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = simhash.near_copies(docs.select("doc_id", "text"))
     heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
     kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)

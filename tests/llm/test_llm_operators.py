@@ -532,3 +532,42 @@ def test_long_runs_connect_the_same(monkeypatch):
     fp = np.unique(np.array([*near, *rng.integers(0, 2**43, 400), *range(64)], np.int64))
     monkeypatch.setattr(simhash, "DENSE", 16)
     assert components(simhash.split_forest(fp), fp) == components(simhash.forest(fp), fp)
+
+
+def test_near_copies_of_similarity_eight_tenths_are_found(spark, monkeypatch):
+    from tidemark.llm import simhash
+
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        words = [str(rng.randint(0, 10**6)) for _ in range(rng.randint(100, 300))]
+        rows.append(" ".join(words))
+        for _ in range(12 if k == 0 else 2):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 4)):
+                copy[at] = "new" + str(rng.randint(0, 10**6))
+            rows.append(" ".join(copy))
+    rows += ["too short", "too  short", "", None]
+    sets = [set(simhash.shingle_set(t).tolist()) for t in rows]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])]
+    far = [(a, b) for a, b in pairs if (simhash.fingerprint(rows[a]) ^ simhash.fingerprint(rows[b])).bit_count() > 4]
+    want = roots(range(len(rows)), pairs)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert len(far) > 20
+    for few in (4, 1):
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == want
+    assert simhash.near_copies(df.filter("false")).count() == 0
+
+
+def test_pipeline_drops_near_copies_beyond_four_bits(spark):
+    import corpus_pipeline as pipeline
+    from tidemark.llm import simhash
+
+    words = [f"w{k}" for k in range(150)]
+    changed = [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in range(5, 145)]
+    text = " ".join(words)
+    far = [t for t in changed if (simhash.fingerprint(t) ^ simhash.fingerprint(text)).bit_count() > 4]
+    df = spark.createDataFrame([(1, text), (2, far[0]), (3, "something else that is no copy of it")], "doc_id long, text string")
+    assert sorted(r[0] for r in pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]

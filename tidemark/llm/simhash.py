@@ -6,12 +6,16 @@ signature that leaves out that bit. Every fingerprint is indexed under its 64
 one-wildcard variants; fingerprints with an equal variant meet in one sorted
 run, where the true distance is checked. A run reports a spanning forest of its
 verified links, never all its pairs: components stay the same.
+
+``near_copies`` is for texts whose word shingles have a Jaccard similarity of
+0.8, which few bits of a fingerprint can't tell: MinHash bands add the
+candidates, and every candidate is verified on the exact shingle sets.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,12 @@ MAX_BITS = 4
 LONG = 1 << 22
 #: Runs of more fingerprints are cut further; for shorter ones comparing all is quicker.
 DENSE = 1 << 15
+#: MinHash bands and the minima in each: a pair of Jaccard 0.8 shares no band with probability 0.00007.
+BANDS, ROWS = 24, 5
+#: Runs of more texts than this are linked to their first text before the rest of their pairs is looked at.
+FEW = 4
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _words(data: bytes) -> Iterator[list[bytes]]:
@@ -49,21 +58,32 @@ def _words(data: bytes) -> Iterator[list[bytes]]:
     yield block
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of a text's word shingles as an unsigned 64-bit number; 0 without words."""
-    counts, total, tail = np.zeros(64, np.int64), 0, []
+def _hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, in pieces; of the whole text where it has fewer words."""
+    tail, none = [], True
     hash_of = xxhash.xxh64_intdigest
     for words in _words((text or "").encode().lower()):
         words = tail + words
         hashes = [hash_of(b" ".join(s), seed) for s in zip(*(words[k:] for k in range(shingle)), strict=False)]
         tail = words[max(0, len(words) - shingle + 1) :]
         for at in range(0, len(hashes), 1 << 16):
-            part = np.array(hashes[at : at + (1 << 16)], dtype=">u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        total += len(hashes)
-    if not total:
-        return hash_of(b" ".join(tail), seed) if tail else 0
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+            none = False
+            yield np.array(hashes[at : at + (1 << 16)], dtype=np.uint64)
+    if none and tail:
+        yield np.array([hash_of(b" ".join(tail), seed)], dtype=np.uint64)
+
+
+def _votes(pieces: Iterable[np.ndarray]) -> int:
+    counts, total = np.zeros(64, np.int64), 0
+    for part in pieces:
+        counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += len(part)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big") if total else 0
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of a text's word shingles as an unsigned 64-bit number; 0 without words."""
+    return _votes(_hashes(text, shingle, seed))
 
 
 def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 4) -> DataFrame:
@@ -192,3 +212,163 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     ids = nodes.groupBy("root").agg(F.min("_least").alias("component_id"))
     nodes = nodes.join(ids, "root").select("fp", "component_id")
     return fps.join(nodes, "fp").select(key, "fp", "component_id")
+
+
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, shingle, seed)]))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band of MinHash minima; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _ODD).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, hash, node, fp, n, bands) per row: hash tells equal texts, node equal shingle sets, n is the set's size."""
+
+    def run(batches):
+        for batch in batches:
+            node, fp, n, band = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                pieces = list(_hashes(t, shingle, 42))
+                hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *pieces]))
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                fp.append(_votes(pieces))
+                n.append(len(hashes))
+                band.append(bands(hashes).view(np.int64))
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(node), long(fp), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=[key, "hash", "node", "fp", "n", "bands"])
+
+    schema = T.StructType([df.schema[key], *(T.StructField(c, T.LongType()) for c in ("hash", "node", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return df.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(run, schema)
+
+
+def _runs(batches, width: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal first values, from sorted batches; a run may span batches."""
+    held: list[list[np.ndarray]] = []
+
+    def cut(cols):
+        ends = np.flatnonzero(np.diff(cols[0])) + 1
+        return zip([0, *ends.tolist()], [*ends.tolist(), len(cols[0])], strict=True)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)])
+        if held[-1][0][-1] != held[0][0][0]:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            rest = [c[last:] for c in cols]
+            yield from ([c[a:b] for c in cols] for a, b in cut([c[:last] for c in cols]) if b - a > 1)
+            held = [rest]
+    if held:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield from ([c[a:b] for c in cols] for a, b in cut(cols) if b - a > 1)
+
+
+def _batches(pieces: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of some thousand rows from pieces of long columns."""
+    held, n = [], 0
+    put = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=names)
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= 1 << 14:
+            yield put()
+            held, n = [], 0
+    if n:
+        yield put()
+
+
+def _band_pairs(batches, least: float):
+    """Runs of (sig, node, n) to (a, b, sig): all pairs of short runs; a long run's texts with its first one, sig told."""
+
+    def pieces():
+        for sig, node, n in _runs(batches, 3):
+            if len(sig) <= FEW:
+                i, j = np.triu_indices(len(sig), 1)
+                ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
+                yield node[i][ok], node[j][ok], np.zeros(int(ok.sum()), np.int64)
+            else:  # the first with itself, too: it is one of the run's texts
+                yield np.full(len(sig), node.min()), node, sig
+
+    return _batches(pieces(), ["a", "b", "sig"])
+
+
+def _cross_pairs(batches, least: float):
+    """Runs of (sig, root, node, n) to pairs (a, b) of different roots; a run is sorted by root."""
+
+    def pieces():
+        for _, root, node, n in _runs(batches, 4):
+            ends = np.flatnonzero(np.diff(root)) + 1
+            for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+                for k in range(a, b):
+                    ok = np.minimum(n[b:], n[k]) >= least * np.maximum(n[b:], n[k])
+                    yield np.full(int(ok.sum()), node[k]), node[b:][ok]
+
+    return _batches(pieces(), ["a", "b"])
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component_id): the least key that can be reached over links of ``least`` Jaccard similarity of word shingles.
+
+    Candidates are what SimHash links within MAX_BITS and what shares a MinHash
+    band; each is verified on the exact sets. Texts of fewer words than a
+    shingle are one shingle; texts without words are equal. A long run's texts
+    are compared with its first text, and then whatever isn't connected yet is
+    compared among itself, so no pair is left out and near copies in numbers
+    cost no square. Null keys are never a component's id unless it holds no
+    other.
+    """
+    prints = materialize(_prints(df, key, text, shingle), "near-prints")
+    nodes = prints.groupBy("node").agg(F.min(key).alias("_least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("hash").alias("hash"))
+    nodes = materialize(nodes, "near-nodes")
+    sigs = nodes.select(F.explode("bands").alias("sig"), "node", "n")
+    met = materialize(sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda it: _band_pairs(it, least), "a long, b long, sig long"), "near-met")
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    close = links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+    first = materialize(distinct(met.select("a", "b").unionByName(same).unionByName(close)), "near-pairs")
+    wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(nodes.select("node", "hash", "n").join(wanted, "node", "left_semi"), "near-wanted")
+    texts = df.select(F.xxhash64(text).alias("hash"), F.col(text).alias("_text"))
+    texts = texts.join(wanted, "hash").groupBy("node", "n").agg(F.first("_text").alias("_text"))
+
+    def sets_of(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "set"])
+
+    sets = materialize(texts.select("node", "n", "_text").mapInArrow(sets_of, "node long, n long, set array<long>"), "near-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("set").alias(f"s_{c}"))
+        sizes = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+        fits = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+        pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(fits).select("a", "b")
+        both = F.size(F.array_intersect("s_a", "s_b"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(both >= least * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+
+    edges = materialize(verified(first), "near-edges")
+    roots = connected_components(edges)
+    runs = met.filter("sig <> 0").select("sig", F.col("b").alias("node"))
+    if not runs.isEmpty():
+        runs = runs.join(nodes.select("node", "n"), "node").join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "node", "n")
+        more = runs.repartition("sig").sortWithinPartitions("sig", "root").mapInArrow(lambda it: _cross_pairs(it, least), "a long, b long")
+        more = materialize(verified(materialize(distinct(more), "near-pairs")), "near-edges")
+        if not more.isEmpty():
+            roots = connected_components(edges.unionByName(more))
+    placed = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
+    placed = placed.join(ids, "root").select("node", "component_id")
+    return prints.join(placed, "node").select(key, "component_id")
