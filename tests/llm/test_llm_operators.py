@@ -571,3 +571,13 @@ def test_pipeline_drops_near_copies_beyond_four_bits(spark):
     far = [t for t in changed if (simhash.fingerprint(t) ^ simhash.fingerprint(text)).bit_count() > 4]
     df = spark.createDataFrame([(1, text), (2, far[0]), (3, "something else that is no copy of it")], "doc_id long, text string")
     assert sorted(r[0] for r in pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
+
+
+def test_signs_at_the_end_and_spaced_signs_are_read(spark):
+    corpus = spark.createDataFrame([(" ".join(["you idiot", "an ass", "a moron and a clown", "what shit", "the market is open"] * 40),)], "text string")
+    grams = {r[0]: r[1] for r in toxicity.char_counts(corpus).collect()}
+    r = toxicity.Restorer(toxicity.CharModel(grams))
+    for said, meant in (("a$$", "ass"), ("idi07", "idiot"), ("shi7", "shit"), ("i d 1 0 t", "idiot"), ("1 d i o t", "idiot"), ("m 0 r 0 n", "moron")):
+        assert r.restore(f"you {said} there") == f"you {meant} there"
+    for plain in ("costs 1 2 3 4 5 in all", "in 1998 and 2 of 10", "open! 5 - 7 only"):
+        assert r.restore(plain) == plain

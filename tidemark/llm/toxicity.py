@@ -37,7 +37,9 @@ CLASSES = len(ALPHABET) + 1
 MAX_LABELLED, MAX_WORDS = 100_000, 50_000
 
 _WORD = re.compile(r"[^\W\d_]{3,32}")
-_SPACED = re.compile(r"(?<![^\s])[^\W\d_](?:[ .*_-]{1,2}[^\W\d_](?![^\W_])){2,24}")
+_CHARS = r"(?:[^\W\d_]|[" + re.escape("".join(LEET)) + "])"
+#: Single letters and signs with separators between, a letter among the first three.
+_SPACED = re.compile(rf"(?<![^\s])(?=(?:{_CHARS}[ .*_-]{{1,2}}){{0,2}}[^\W\d_]){_CHARS}(?:[ .*_-]{{1,2}}{_CHARS}(?![^\W_]|[@$!|+€£])){{2,24}}")
 #: Where a span ends, and what is cut off its ends.
 _EDGES, _TRIM = frozenset(" \t\n\r\x0b\x0c,;:?\"()"), ".!*_-"
 #: Longer spans are left as they are.
@@ -157,17 +159,20 @@ class Restorer:
             return text
         points, kind = self._look(text)
         letter = kind == _LETTER
-        single = letter.copy()
-        single[1:] &= (kind[:-1] != _LETTER) & (kind[:-1] != _SIGN)
-        single[:-1] &= (kind[1:] != _LETTER) & (kind[1:] != _SIGN)
+        told = letter | (kind == _SIGN) | (points == ord("!"))
+        single = told.copy()
+        single[1:] &= ~told[:-1]
+        single[:-1] &= ~told[1:]
         at = np.flatnonzero(single)
         if len(at) > 2 and (at[2:] - at[:-2] <= 6).any():
             text = _SPACED.sub(self._decoded, text)
             points, kind = self._look(text)
             letter = kind == _LETTER
-        # A sign before a letter, a star between letters, a letter between separators, a letter three times.
+        # A sign beside a letter or beside another sign that is, a star between letters, a letter between separators, a letter three times.
+        sign = kind == _SIGN
         hit = np.zeros(len(kind), bool)
-        hit[:-1] = (kind[:-1] == _SIGN) & letter[1:]
+        hit[:-1] = sign[:-1] & letter[1:]
+        hit[1:] |= sign[1:] & letter[:-1]
         hit[1:-1] |= letter[:-2] & letter[2:] & (points[1:-1] == ord("*"))
         hit[1:-1] |= letter[1:-1] & (kind[:-2] == _SEPARATOR) & (kind[2:] == _SEPARATOR)
         hit[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])
