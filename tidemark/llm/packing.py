@@ -14,6 +14,7 @@ number among those of its length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, materialize
+from .common import by_value, fresh, materialize
 
 by_value(__name__)
 
@@ -36,26 +37,34 @@ PHASES = 4
 
 
 class Encoder:
-    """Token ids by a file of the tokenizers library.
+    """Token ids by a file of the tokenizers library, their special strings being told as the library tells them.
 
     Byte-level BPE files whose ids are the merges' ranks are run by tiktoken on
-    the same vocabulary, which gives the same ids several times faster; the first
-    texts are held against the tokenizers library, which takes over at any
-    difference and for any other file.
+    the same vocabulary, which is several times faster. The two could differ in
+    what kind of character (letter, number, blank, other) they take a character
+    for, so every character is tried on both when it is first met; texts that
+    hold one they differ on, or a special string, go to the tokenizers library.
+    So do all texts of any other file.
     """
 
-    PROBES = 8
+    #: A character stands among each of these when it is tried.
+    TRIALS = ("a{0}b", "1{0}2", " {0}x", "x {0}{0} ", "!{0}?", "'{0}e", "{0}'s", "\t{0}\n", "{0}")
+    #: Runs without any blank that are longer than this go to the tokenizers library, whose time does not grow with their square.
+    SOLID = 100_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.fast = self._fast(json.load(open(path)))
-        self.probes = self.PROBES
+        spec = json.load(open(path))
+        added = [x["content"] for x in spec.get("added_tokens", ())]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.fast = self._fast(spec, set(added))
+        self.known: set[str] = set()
+        self.odd: set[str] = set()
 
     @staticmethod
-    def _fast(spec: dict):
+    def _fast(spec: dict, special: set[str]):
         import tiktoken
 
         pre = spec.get("pre_tokenizer") or {}
@@ -63,23 +72,29 @@ class Encoder:
             return None
         plain = [b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {x["content"] for x in spec.get("added_tokens", ())}
         ranks = {bytes(byte_of[c] for c in piece): k for piece, k in spec["model"]["vocab"].items() if piece not in special}
         # The usual split of byte-level BPE, as the library's ByteLevel has it.
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def _slowly(self, text: str) -> list[int]:
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    def _try(self, chars: set[str]) -> None:
+        for c in chars:
+            if any(self._slowly(t.format(c)) != self.fast.encode_ordinary(t.format(c)) for t in self.TRIALS):
+                self.odd.add(c)
+        self.known |= chars
+
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None:
-            got = np.array(self.fast.encode_ordinary(text), dtype="<u4")
-            if self.probes and len(text) < 100_000:
-                self.probes -= 1
-                want = np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-                if not np.array_equal(got, want):
-                    self.fast = None
-                    return want
-            return got
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if self.fast is None or (self.special and self.special.search(text)):
+            return np.array(self._slowly(text), dtype="<u4")
+        chars = set(text)
+        if new := chars - self.known:
+            self._try(new)
+        if not chars.isdisjoint(self.odd) or (len(text) > self.SOLID and max(map(len, text.split())) > self.SOLID):
+            return np.array(self._slowly(text), dtype="<u4")
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 
 def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", max_length: int = MAX_LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -259,21 +274,24 @@ def pack(parts: DataFrame, key: str, max_length: int = MAX_LENGTH) -> DataFrame:
 
     Every sequence is gapless from offset 0. Rows equal in key and piece (of
     repeated documents) are packed one by one. ``parts`` must give the same rows
-    each time it is read. An empty table gives an empty result.
+    each time it is read. An empty table gives an empty result; columns named
+    sequence_id or offset are replaced.
     """
     spark = parts.sparkSession
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most max_length rows
     sent = spark.sparkContext.broadcast(places(plan(counts, max_length)))
     # Number the pieces of each length; a length may be hot, so it is numbered in salted groups.
+    parts = parts.drop("sequence_id", "offset")
+    columns = parts.columns
+    salt, size, order, before, number = fresh(columns, "_salt", "_n", "_order", "_before", "_number")
     salts = max(16, min(4096, sum(counts.values()) // 50_000))
-    parts = parts.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
-    groups = parts.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    groups = groups.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(key, "piece"))
-    numbered = parts.withColumn("_order", order).join(groups, ["length", "_salt"])
-    columns = [c for c in parts.columns if c != "_salt"]
-    numbered = numbered.select(*columns, (F.col("_before") + F.col("_order") - 1).alias("_number"))
+    parts = parts.withColumn(salt, F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    groups = parts.groupBy("length", salt).agg(F.count(F.lit(1)).alias(size))
+    earlier = F.sum(size).over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.select("length", salt, F.coalesce(earlier, F.lit(0)).alias(before))
+    nth = F.row_number().over(Window.partitionBy("length", salt).orderBy(key, "piece"))
+    numbered = parts.withColumn(order, nth).join(groups, ["length", salt])
+    numbered = numbered.select(*columns, (F.col(before) + F.col(order) - 1).alias(number))
     schema = T.StructType([*numbered.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = columns.index("length")
 
