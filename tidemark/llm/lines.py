@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, let, materialize
 
 #: Log2 of the sketches' buckets; their relative error is about 0.83 / sqrt(2 ** LG_K).
 LG_K = 12
@@ -39,6 +39,14 @@ def shared_lines(df: DataFrame, key: str, text: str, site: str, min_sites: int)
     return hits, boiler.filter(F.col("sites") >= min_sites)
 
 
+def _without(lines: Column, bad: Column) -> Column:
+    """``lines`` without those whose hash is in ``bad``: the hashes are looked up in about sqrt(lines) buckets."""
+    n = F.greatest(F.ceil(F.sqrt(F.size(lines))).cast("int"), F.lit(1))
+    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(bad, lambda x: F.pmod(x, n) == b))
+    known = lambda t: lambda h: F.array_contains(F.get(t, F.pmod(h, n).cast("int")), h)
+    return let(buckets, lambda t: F.filter(lines, lambda x: (F.trim(x) == "") | ~let(_hash(x), known(t))))
+
+
 def drop_shared_lines(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 5) -> DataFrame:
     """``df`` with lines of ``min_sites`` or more sites taken out of ``text``, plus n_lines and n_removed.
 
@@ -48,16 +56,16 @@ def drop_shared_lines(df: DataFrame, key: str = "doc_id", text: str = "text", si
     least key, so the corpus keeps one copy. A null site is a site of its own;
     null texts stay null; null keys are one document, never the least while
     there is another. Rows with one key are one document. Columns named n_lines
-    or n_removed are replaced.
+    or n_removed are replaced; any other column stays as it is.
     """
     df = df.drop("n_lines", "n_removed")
+    doc, lost, kept = fresh(df.columns, "_doc", "_bad", "_kept")
     hits, boiler = shared_lines(df, key, text, site, min_sites)
     bad = hits.join(boiler, "line").filter(~F.col("_key").eqNullSafe(F.col("keeper")))
-    bad = bad.groupBy("_key").agg(F.collect_set("line").alias("_bad"), F.count(F.lit(1)).alias("_one")).drop("_one")
-    out = df.join(bad, F.col(key).eqNullSafe(F.col("_key")), "left")
+    bad = bad.groupBy(F.col("_key").alias(doc)).agg(F.collect_set("line").alias(lost))
+    out = df.join(bad, F.col(key).eqNullSafe(F.col(doc)), "left")
     lines = _lines(text)
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _hash(x))))
-    counted = out.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "_kept": kept})
-    counted = counted.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("int"))
-    counted = counted.withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("int"))
-    return counted.withColumn(text, F.array_join("_kept", "\n")).drop("_kept", "_bad", "_key")
+    out = out.withColumn(kept, F.when(F.col(lost).isNull(), lines).otherwise(_without(lines, F.col(lost))))
+    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("int")
+    gone = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("int")
+    return out.withColumns({"n_lines": total, "n_removed": gone, text: F.array_join(kept, "\n")}).drop(kept, lost, doc)
