@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: Upper bound of the number of cells, hence of the matrix's rows.
 MAX_CELLS = 4096
@@ -27,15 +28,50 @@ MAX_CELLS = 4096
 CELL_ROWS = 2048
 
 
+def _stirling_rest(n: int) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss where both are close."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, power, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        power *= v * v
+        new = total + power / (2 * k + 1)
+        if new == total:
+            return new
+        total, k = new, k + 1
+
+
+def _binomial(x: int, n: int, p: float, q: float) -> float:
+    """The binomial probability by saddle-point expansion (Loader 2000): full precision for any n."""
+    if x == 0:
+        return math.exp(n * math.log1p(-p)) if p < 0.5 else math.exp(n * math.log(q)) if q else float(n == 0)
+    if x == n:
+        return math.exp(n * math.log1p(-q)) if q < 0.5 else math.exp(n * math.log(p))
+    e = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return math.exp(e) * math.sqrt(n / (2 * math.pi * x * (n - x)))
+
+
 def draw_hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """How many of ``drawn`` items out of ``good + bad`` are good; exact inversion from the mode."""
+    """How many of ``drawn`` items out of ``good + bad`` are good, by inversion from the mode.
+
+    Probabilities are right to the precision of doubles at any size, which
+    differences of log-gamma values would not be.
+    """
     lo, hi = max(0, drawn - bad), min(drawn, good)
     if lo == hi:
         return lo
     total = good + bad
     mode = min(hi, max(lo, (drawn + 1) * (good + 1) // (total + 2)))
-    comb = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    at_mode = math.exp(comb(good, mode) + comb(bad, drawn - mode) - comb(total, drawn))
+    p, q = drawn / total, (total - drawn) / total
+    at_mode = _binomial(mode, good, p, q) * _binomial(drawn - mode, bad, p, q) / _binomial(drawn, total, p, q)
     left = rng.random() - at_mode
     down = up = mode
     p_down = p_up = at_mode
@@ -81,39 +117,32 @@ def shuffle_into_shards(df: DataFrame, key: list[str], n_shards: int, seed: int
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    first, second = F.xxhash64(F.lit(seed), *key), F.xxhash64(F.lit(seed + 1), *key)
+    cell, rank, first, second, ends, block, size, before = fresh(df.columns, "_cell", "_rank", "_first", "_second", "_ends", "_block", "_n", "_before")
     total = df.count()
     n_cells = max(1, min(max_cells, math.ceil(total / cell_rows)))
-    rows = df.withColumns({"_cell": F.pmod(first, F.lit(n_cells)).cast("int"), "_first": F.xxhash64(F.lit(seed + 2), *key), "_second": second})
-    counts = {r["_cell"]: r["n"] for r in rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_CELLS rows
+    hashed = lambda k: F.xxhash64(F.lit(seed + k), *key)
+    rows = df.withColumns({cell: F.pmod(hashed(0), F.lit(n_cells)).cast("int"), first: hashed(2), second: hashed(1)})
+    counts = {r[0]: r[1] for r in rows.groupBy(cell).agg(F.count(F.lit(1))).collect()}  # at most MAX_CELLS rows
     sizes = [total // n_shards + (k < total % n_shards) for k in range(n_shards)]
     matrix = communication_matrix([counts.get(c, 0) for c in range(n_cells)], sizes, seed)
-    cuts = []
-    for c, row in enumerate(matrix):
-        at, ends = 0, []
-        for n in row:
-            at += n
-            ends.append(at)
-        cuts.append((c, ends))
-    cuts = spark.createDataFrame(cuts, "_cell int, _ends array<bigint>")
-    in_cell = Window.partitionBy("_cell").orderBy("_first", *key)
+    cuts = spark.createDataFrame([(c, list(accumulate(row))) for c, row in enumerate(matrix)], f"`{cell}` int, `{ends}` array<bigint>")
+    in_cell = Window.partitionBy(cell).orderBy(first, *key)
     sent = (
-        rows.withColumn("_rank", F.row_number().over(in_cell))
-        .join(F.broadcast(cuts), "_cell")  # MAX_CELLS rows at most
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))))
-        .withColumn("_block", F.shiftrightunsigned("_second", 64 - 12).cast("int"))
-        .withColumn("_block", F.floor(F.col("_block") * F.lit(n_cells) / F.lit(4096)).cast("int"))
-        .drop("_cell", "_first", "_rank", "_ends")
+        rows.withColumn(rank, F.row_number().over(in_cell))
+        .join(F.broadcast(cuts), cell)  # MAX_CELLS rows at most
+        .withColumn("shard", F.size(F.filter(ends, lambda e: e < F.col(rank))))
+        .withColumn(block, F.floor(F.shiftrightunsigned(second, 64 - 12) * F.lit(n_cells) / F.lit(4096)).cast("int"))
+        .drop(cell, first, rank, ends)
     )
     sent = materialize(sent, "sharding")
     # A shard's slots follow the second hash: whole blocks in order of the hash's leading bits, then rows in a block.
-    blocks = sent.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("shard", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    in_block = Window.partitionBy("shard", "_block").orderBy("_second", *key)
+    blocks = sent.groupBy("shard", block).agg(F.count(F.lit(1)).alias(size))
+    earlier = F.sum(size).over(Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("shard", block, F.coalesce(earlier, F.lit(0)).alias(before))
+    in_block = Window.partitionBy("shard", block).orderBy(second, *key)
     return (
-        sent.withColumn("_rank", F.row_number().over(in_block))
-        .join(blocks, ["shard", "_block"])
-        .withColumn("slot", F.col("_before") + F.col("_rank") - 1)
-        .drop("_block", "_second", "_rank", "_before")
+        sent.withColumn(rank, F.row_number().over(in_block))
+        .join(blocks, ["shard", block])
+        .withColumn("slot", F.col(before) + F.col(rank) - 1)
+        .drop(block, second, rank, before)
     )
