@@ -155,7 +155,8 @@ def suffix_columns(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         return np.where(at >= 0, data[first[owner] + np.maximum(at, 0)], NONE).astype(np.uint8)
 
     owner = np.arange(n, dtype=np.int32)  # the empty suffixes
-    length, prefix = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    small = np.uint8 if sizes.max(initial=0) < 255 else np.uint16 if sizes.max() < 65535 else np.int64
+    length, prefix = np.zeros(n, small), np.zeros(n, small)
     bwt = before(owner, 0)
     last = np.arange(n)  # places of the suffixes that the last round put in
     for r in range(1, int(sizes.max(initial=0)) + 1):
@@ -169,7 +170,7 @@ def suffix_columns(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         here = order[k]
         up, down = np.maximum(k - 1, 0), np.minimum(k + 1, len(order) - 1)
         has_up, has_down = (k > 0) & (symbol[up] == symbol[k]), (k + 1 < len(order)) & (symbol[down] == symbol[k])
-        own = np.zeros(len(k), np.uint8)
+        own = np.zeros(len(k), small)
         own[has_up] = 1 + least(order[up[has_up]] + 1, here[has_up])
         after = 1 + least(here[has_down] + 1, order[down[has_down]])
         new = np.zeros(n + len(order), bool)
