@@ -4,19 +4,19 @@ Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``) and
 repetition (``idiooot``). A span that looks so becomes a lattice of characters:
 what each sign may stand for, what may be dropped, each at a channel cost.
 Viterbi decoding under a character trigram model, counted over all documents,
-gives the most likely reading, and the restored text is scored by words learned
-from labelled documents.
+gives the most likely reading. What the text says as written and as restored is
+scored by words learned from labelled documents and by a few numbers of style.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,35 +28,39 @@ by_value(__name__)
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l"}
 #: Channel costs (negative log probabilities): a sign for a letter; a letter's second and further copies, a separator and any other sign dropped.
 SUBSTITUTE, DROP_SECOND, DROP_FURTHER, DROP_SEPARATOR, DROP_SIGN = 0.7, 4.0, 0.2, 0.3, 9.0
-#: A vowel behind a star.
-HIDDEN = 1.6
+#: A vowel behind a star; a separator and any other sign that stand for the end of a word.
+HIDDEN, SPLIT, SPLIT_SIGN = 1.6, 1.0, 3.0
 #: Letters of the character model: a-z and Latin-1's small letters; all else is the boundary, class 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 CLASSES = len(ALPHABET) + 1
-#: Labelled documents to learn from, at most (by a hash of their id), and learned words, at most.
-MAX_LABELLED, MAX_WORDS = 100_000, 50_000
-
-_WORD = re.compile(r"[^\W\d_]{3,32}")
+#: Labelled documents to learn from, at most (by a hash of their id).
+MAX_LABELLED = 100_000
+#: Readings of one span that haven't met within so many characters are settled by what is likeliest so far.
+SETTLE = 1024
+#: Words count with their beginnings of these lengths, so that inflected forms tell, too.
+PREFIXES = (4, 5, 6, 7, 8)
+
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _CHARS = r"(?:[^\W\d_]|[" + re.escape("".join(LEET)) + "])"
-#: Single letters and signs with separators between, a letter among the first three.
-_SPACED = re.compile(rf"(?<![^\s])(?=(?:{_CHARS}[ .*_-]{{1,2}}){{0,2}}[^\W\d_]){_CHARS}(?:[ .*_-]{{1,2}}{_CHARS}(?![^\W_]|[@$!|+€£])){{2,24}}")
+#: Single letters and signs with separators between, a letter among the first three. Possessive, so that long runs take no memory.
+_SPACED = re.compile(rf"(?<![^\s])(?=(?:{_CHARS}[ .*_-]{{1,2}}){{0,2}}[^\W\d_]){_CHARS}(?:[ .*_-]{{1,2}}{_CHARS}(?![^\W_]|[@$!|+€£])){{2,}}+")
 #: Where a span ends, and what is cut off its ends.
 _EDGES, _TRIM = frozenset(" \t\n\r\x0b\x0c,;:?\"()"), ".!*_-"
-#: Longer spans are left as they are.
-MOST = 64
-#: Kinds of characters: others, letters, signs that stand for letters, separators.
-_LETTER, _SIGN, _SEPARATOR = 1, 2, 3
+#: Kinds of characters: others, letters, signs that stand for letters, separators, edges.
+_LETTER, _SIGN, _SEPARATOR, _EDGE = 1, 2, 3, 4
 
 
 def _kinds() -> np.ndarray:
     kinds = np.zeros(0x2100, np.uint8)
     for k in range(len(kinds)):
         c = chr(k)
-        kinds[k] = _LETTER if c.isalpha() else _SIGN if c in LEET and c != "!" else _SEPARATOR if c in "!*_.-" else 0
+        kinds[k] = _LETTER if c.isalpha() else _SIGN if c in LEET and c != "!" else _SEPARATOR if c in "!*_.-" else _EDGE if c in _EDGES else 0
     return kinds
 
 
 _KINDS = _kinds()
+_CAPITAL = np.array([chr(k).isupper() for k in range(0x250)])
+_MARK = np.array([0x20 < k < 0x7F and not chr(k).isalnum() for k in range(0x250)])
 
 
 def _codes(text: str) -> np.ndarray:
@@ -96,38 +100,50 @@ class CharModel:
         p1 = (n1 + 1) / (n1.sum() + CLASSES)
         p2 = (n2 + 5 * p1) / (n2.sum(axis=1, keepdims=True) + 5)
         p3 = (n3 + 5 * p2[None]) / (n3.sum(axis=2, keepdims=True) + 5)
-        self.cost = (-np.log(p3)).astype(np.float32)
+        self.cost = (-np.log(p3)).astype(np.float32).reshape(-1).tolist()
         self.code = {c: k + 1 for k, c in enumerate(ALPHABET)}
 
+    def _ways(self, x: str, last: str, before: str) -> list[tuple[str, float]]:
+        """What a character may stand for, at what cost; a blank is a word's end."""
+        if x in self.code:
+            return [(x, 0.0), ("", DROP_FURTHER if x == before else DROP_SECOND)] if x == last else [(x, 0.0)]
+        if x == "*":
+            return [*((y, HIDDEN) for y in "aeiou"), ("", DROP_SEPARATOR), (" ", SPLIT)]
+        if x in LEET:
+            return [*((y, SUBSTITUTE) for y in LEET[x]), ("", DROP_SIGN), (" ", SPLIT_SIGN)]
+        return [(x, 0.0)] if x.isalpha() else [("", DROP_SEPARATOR), (" ", SPLIT)]
+
     def decode(self, span: str) -> str:
-        """The likeliest reading of an obfuscated span (lower case)."""
-        code, cost = self.code, self.cost
+        """The likeliest reading of an obfuscated span (lower case), its words separated by blanks."""
+        code, cost, n = self.code, self.cost, CLASSES
+        done: list[str] = []
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         last = before = ""
-        for x in span:
-            if x in code:
-                ways = [(x, 0.0)] + ([("", DROP_FURTHER if x == before else DROP_SECOND)] if x == last else [])
-            elif x == "*":
-                ways = [(y, HIDDEN) for y in "aeiou"] + [("", DROP_SEPARATOR)]
-            elif x in LEET:
-                ways = [(y, SUBSTITUTE) for y in LEET[x]] + [("", DROP_SIGN)]
-            elif x.isalpha():
-                ways = [(x, 0.0)]
-            else:
-                ways = [("", DROP_SEPARATOR)]
+        for at, x in enumerate(span):
+            ways = self._ways(x, last, before)
             last, before = x, last
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (c, out) in states.items():
                 for y, w in ways:
                     if y:
                         k = code.get(y, 0)
-                        state, total, text = (b, k), c + w + float(cost[a, b, k]), out + y
+                        state, total, text = (b, k), c + w + cost[(a * n + b) * n + k], out + y
                     else:
                         state, total, text = (a, b), c + w, out
                     if state not in new or total < new[state][0]:
                         new[state] = (total, text)
             states = new
-        return min((c + float(cost[a, b, 0]), out) for (a, b), (c, out) in states.items())[1]
+            if len(states) == 1 or at % 256 == 255:
+                # What all readings share is settled, so that a span of any length takes time in its length only.
+                same = os.path.commonprefix([out for _, out in states.values()])
+                states = {s: (c, out[len(same) :]) for s, (c, out) in states.items()}
+                done.append(same)
+                if max(len(out) for _, out in states.values()) > SETTLE:
+                    s, (c, out) = min(states.items(), key=lambda kv: kv[1][0])
+                    states = {s: (c, "")}
+                    done.append(out)
+        done.append(min((c + cost[(a * n + b) * n], out) for (a, b), (c, out) in states.items())[1])
+        return " ".join("".join(done).split())
 
 
 class Restorer:
@@ -135,25 +151,31 @@ class Restorer:
 
     def __init__(self, model: CharModel, room: int = 100_000):
         self.model, self.room, self.seen = model, room, {}
+        #: Spans decoded in the last text.
+        self.spans = 0
 
     def _decoded(self, m: re.Match) -> str:
         return self.decode(m[0])
 
     def decode(self, span: str) -> str:
+        self.spans += 1
         got = self.seen.get(span)
         if got is None:
-            if len(self.seen) >= self.room:
-                self.seen.clear()
-            got = self.seen[span] = self.model.decode(span)
+            got = self.model.decode(span)
+            if len(span) <= 64:  # longer ones hardly come again
+                if len(self.seen) >= self.room:
+                    self.seen.clear()
+                self.seen[span] = got
         return got
 
     @staticmethod
     def _look(text: str) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         return points, _KINDS[np.minimum(points, 0x20FF)]
 
     def restore(self, text: str) -> str:
         """The text in lower case with its obfuscated spans decoded."""
+        self.spans = 0
         text = text.lower()
         if len(text) < 3:
             return text
@@ -168,34 +190,48 @@ class Restorer:
             text = _SPACED.sub(self._decoded, text)
             points, kind = self._look(text)
             letter = kind == _LETTER
-        # A sign beside a letter or beside another sign that is, a star between letters, a letter between separators, a letter three times.
+        # A sign beside a letter or beside another sign that is, a star or an exclamation mark between letters, a letter between separators, a letter three times.
         sign = kind == _SIGN
         hit = np.zeros(len(kind), bool)
         hit[:-1] = sign[:-1] & letter[1:]
         hit[1:] |= sign[1:] & letter[:-1]
-        hit[1:-1] |= letter[:-2] & letter[2:] & (points[1:-1] == ord("*"))
+        hit[1:-1] |= letter[:-2] & letter[2:] & ((points[1:-1] == ord("*")) | (points[1:-1] == ord("!")))
         hit[1:-1] |= letter[1:-1] & (kind[:-2] == _SEPARATOR) & (kind[2:] == _SEPARATOR)
         hit[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[2:] == points[:-2])
+        if not hit.any():
+            return text
+        edges = np.concatenate([[-1], np.flatnonzero(kind == _EDGE), [len(kind)]])
+        first = np.unique(np.searchsorted(edges, np.flatnonzero(hit)))  # the edge that ends each hit's span
         out, done = [], 0
-        for k in np.flatnonzero(hit).tolist():
-            if k < done:
-                continue
-            a, b = k, k
-            while a > done and k - a <= MOST and text[a - 1] not in _EDGES:
-                a -= 1
-            while b < len(text) and b - k <= MOST and text[b] not in _EDGES:
-                b += 1
+        for a, b in zip((edges[first - 1] + 1).tolist(), edges[first].tolist(), strict=True):
             span = text[a:b]
             core = span.strip(_TRIM)
-            if len(core) <= MOST:
-                got = self.decode(core)
-                out += [text[done:a], span.replace(core, got, 1)]
-                done = b
-        return "".join([*out, text[done:]]) if out else text
-
-
-def _words(text: str | None, restorer: Restorer) -> set[str]:
-    return set(_WORD.findall(restorer.restore(text))) if text else set()
+            if core:
+                at = a + span.index(core[0]) if len(core) < len(span) else a
+                out += [text[done:at], self.decode(core)]
+                done = at + len(core)
+        return "".join([*out, text[done:]])
+
+
+def _look_at(text: str | None, restorer: Restorer) -> tuple[set[str], list[float]]:
+    """The words of a text, as written and as read, with their beginnings; and its style."""
+    if not text:
+        return set(), [0.0] * STYLES
+    read = restorer.restore(text)
+    said = _WORD.findall(read)
+    words = set(said)
+    if restorer.spans:
+        words.update(_WORD.findall(text.lower()))
+    pieces = set(words)
+    for k in PREFIXES:
+        pieces.update([w[:k] + "*" for w in words if len(w) > k])
+    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0x24F)
+    n, many = len(points), len(said)
+    return pieces, [math.log1p(many), math.log1p(len(words)), np.count_nonzero(_CAPITAL[points]) / n, np.count_nonzero(_MARK[points]) / n, math.log1p(restorer.spans) - math.log1p(many)]
+
+
+#: Numbers in a text's style: words, different words, capitals, marks, and spans decoded for each word.
+STYLES = 5
 
 
 def deobfuscated(df: DataFrame, grams: dict[int, int], text: str = "text") -> DataFrame:
@@ -212,111 +248,108 @@ def deobfuscated(df: DataFrame, grams: dict[int, int], text: str = "text") -> Da
     return df.mapInArrow(run, df.schema)
 
 
-def _features(hits: list[float]) -> list[float]:
-    return [1.0, max(hits, default=0.0), math.log1p(len(hits)), float(bool(hits))]
+def _features(top: float, total: float, hits: int, style: list[float]) -> list[float]:
+    return [1.0, top, math.log1p(total), math.log1p(hits), *style]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of a small logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    """Weights of a small logistic regression by Newton steps; the first column, of ones, isn't drawn to zero."""
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    mean[0], spread[spread == 0] = 0.0, 1.0
+    z, w, pull = (x - mean) / spread, np.zeros(x.shape[1]), ridge * np.ones(x.shape[1])
+    pull[0] = 1e-6
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
+    w /= spread
+    w[0] -= float(w[1:] @ mean[1:])
     return w
 
 
-def telling_words(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int, n_words: int) -> dict[str, float]:
-    """Log odds of the words whose lean to toxic documents chance can't explain, over all words tried."""
+def telling(tally: DataFrame, pos: Column, neg: Column, n_pos: int, n_neg: int, n_pieces: int) -> dict[str, float]:
+    """Log odds of the pieces that make a document likelier toxic than not.
+
+    Chance must not explain a piece's lean to toxic documents, over all pieces
+    tried, and even the lower end of its share of them must be above a half.
+    Pieces come from a bounded sample of documents, so their number is bounded.
+    """
     base = (n_pos + 0.5) / (n_pos + n_neg + 1)
-    need, out = math.log(max(n_words, 1)) + 3, {}
-    for word, pos, neg in counts:
-        p = pos / (pos + neg)
-        if p > base:
-            gain = pos * math.log(p / base) + (neg * math.log((1 - p) / (1 - base)) if neg else 0)
-            if gain >= need:
-                out[word] = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
-    return dict(sorted(out.items(), key=lambda kv: (-kv[1], kv[0]))[:MAX_WORDS])
+    p = pos / (pos + neg)
+    gain = pos * F.ln(p / base) + F.when(neg > 0, neg * F.ln((1 - p) / (1 - base))).otherwise(F.lit(0.0))
+    odds = F.ln((pos + 0.5) / (n_pos + 1)) - F.ln((neg + 0.5) / (n_neg + 1))
+    n, z = pos + neg, 1.645
+    least = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)  # Wilson's bound
+    found = tally.filter((F.col("piece") != "") & (pos > 0)).filter((p > base) & (gain >= math.log(max(n_pieces, 1)) + 3) & (least > 0.5))
+    return {r[0]: r[1] for r in found.select("piece", odds).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> dict:
     """Learn from labelled rows: the character model of all ``docs``, telling words, and weights for their hits.
 
     At most about ``max_labelled`` labelled rows are used, chosen by a hash of
-    the key. Words are learned on half of them and the weights on the other;
-    then words are learned again on all. Rows with a null label are no labels;
-    equal texts count once. Without labels of both kinds every score is the
-    same, the share of toxic labels (or 0.5 without any).
+    the key. Words (and beginnings of words) are learned on each half of them and
+    the weights on their hits in the other half; then words are learned again on
+    all. Rows with a null label are no labels; equal texts count once. Without labels of both kinds
+    every score is the same, the share of toxic labels (or 0.5 without any).
     """
     spark = docs.sparkSession
     grams = {r[0]: r[1] for r in char_counts(docs, text).collect()}  # at most CLASSES ** 3 rows
     sent = spark.sparkContext.broadcast(grams)
-    labels = labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
+    labels = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     n = labels.count()
     if n > max_labelled:
-        labels = labels.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+        labels = labels.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
     # Labels are some max_labelled small rows now, so they go to the texts and no text is exchanged.
-    texts = docs.select(key, text).filter(F.length(text) > 0)
-    known = texts.select(key, F.xxhash64(text).alias("_h")).join(F.broadcast(labels), key)
-    chosen = known.groupBy("_h").agg(F.min_by(F.struct(key, "_y"), key).alias("_r"), F.max("_y").alias("_y")).select(F.col(f"_r.{key}").alias(key), "_h", "_y")
-    chosen = materialize(chosen, "labelled")
-    rows = texts.join(F.broadcast(chosen), key).select("_h", "_y", text)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0).join(F.broadcast(labels), "k")
 
-    def count(batches):
+    def look(batches):
         restorer = Restorer(CharModel(sent.value))
         for batch in batches:
-            got: Counter = Counter()
-            for h, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                half = h & 1
-                got.update((w, half, y) for w in _words(t, restorer) | {""})  # the empty word counts documents
-            cols = list(zip(*((w, half, y, n) for (w, half, y), n in got.items()), strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["word", "half", "y", "n"])
-
-    seen = rows.mapInArrow(count, "word string, half int, y int, n long")
-    case = lambda y, half: F.sum(F.when((F.col("y") == y) & (F.col("half") == half), F.col("n")).otherwise(0))
-    tally = seen.groupBy("word").agg(case(1, 0).alias("p0"), case(0, 0).alias("n0"), case(1, 1).alias("p1"), case(0, 1).alias("n1"))
+            got = [_look_at(t, restorer) for t in batch.column(2).to_pylist()]
+            cols = [batch.column(0), batch.column(1), pa.array([[*p, ""] for p, _ in got], pa.list_(pa.string())), pa.array([s for _, s in got], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "y", "pieces", "style"])
+
+    # The empty piece counts documents.
+    seen = texts.select(F.xxhash64("t").alias("h"), "y", "t").mapInArrow(look, "h long, y int, pieces array<string>, style array<double>")
+    seen = materialize(seen, "labelled")
+    once = seen.groupBy("h").agg(F.max("y").alias("y"), F.count(F.lit(1)).alias("copies"))
+    copies = materialize(once.filter("copies > 1"), "labelled-copies")
+    exploded = lambda rows: rows.select("h", "y", F.explode("pieces").alias("piece"))
+    # Texts that come once need no further step; of the others one copy each is taken.
+    single = seen.join(F.broadcast(copies.select("h")), "h", "left_anti")
+    repeated = seen.join(F.broadcast(copies.select("h")), "h", "left_semi").groupBy("h").agg(F.max("y").alias("y"), F.first("pieces").alias("pieces"), F.first("style").alias("style"))
+    rows = single.unionByName(repeated)
+    case = lambda y, half: F.count_if((F.col("y") == y) & (F.col("h").bitwiseAND(F.lit(1)) == half))
+    tally = exploded(rows).groupBy("piece").agg(case(1, 0).alias("p0"), case(0, 0).alias("n0"), case(1, 1).alias("p1"), case(0, 1).alias("n1"))
     tally = materialize(tally, "words")
-    docs_row = tally.filter("word = ''").first() or (None, 0, 0, 0, 0)
-    n_words = tally.count()
-    # Only words that could be telling come to the driver: their number is bounded below by MAX_WORDS of the best.
-    lean = F.expr("(p0 + p1) / greatest(1, p0 + p1 + n0 + n1)")
-    best = tally.filter((F.col("word") != "") & (F.expr("p0 + p1") >= 3) & (lean >= 0.3)).orderBy(F.expr("-(p0 + p1) * ln(1 + (p0 + p1) / (1 + n0 + n1))"), "word").limit(MAX_WORDS).collect()
-    _, p0, n0, p1, n1 = docs_row
-    total = p0 + n0 + p1 + n1
-    model = {"grams": grams, "words": {}, "weights": [math.log((p0 + p1 + 0.5) / (n0 + n1 + 0.5)) if total else 0.0, 0.0, 0.0, 0.0]}
+    _, p0, n0, p1, n1 = tally.filter("piece = ''").first() or (None, 0, 0, 0, 0)
+    n_pieces, total = tally.count(), p0 + n0 + p1 + n1
+    model = {"grams": grams, "words": {}, "weights": [math.log((p0 + p1 + 0.5) / (n0 + n1 + 0.5)) if total else 0.0, *[0.0] * (3 + STYLES)]}
     if not (p0 + p1 and n0 + n1):
         return model
-    half = telling_words([(r["word"], r["p0"], r["n0"]) for r in best if r["p0"]], p0, n0, n_words)
-    hits_of = spark.sparkContext.broadcast(half)
-
-    def hits(batches):
-        restorer = Restorer(CharModel(sent.value))
-        for batch in batches:
-            ys, xs = [], []
-            for h, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h & 1:
-                    ys.append(y)
-                    xs.append(tuple(_features([hits_of.value[w] for w in _words(t, restorer) if w in hits_of.value])))
-            got = Counter(zip(ys, xs, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in got], pa.int32()), pa.array([list(x) for _, x in got], pa.list_(pa.float64())), pa.array(list(got.values()), pa.int64())], names=["y", "x", "n"])
-
-    held = rows.mapInArrow(hits, "y int, x array<double>, n long").groupBy("y", "x").agg(F.sum("n").alias("n")).collect()  # at most max_labelled rows
-    if half and any(r["y"] for r in held) and not all(r["y"] for r in held):
-        x, y, n = np.array([r["x"] for r in held]), np.array([r["y"] for r in held], float), np.array([r["n"] for r in held])
-        model["weights"] = _logistic(np.repeat(x, n, axis=0), np.repeat(y, n)).tolist()
-        model["words"] = telling_words([(r["word"], r["p0"] + r["p1"], r["n0"] + r["n1"]) for r in best], p0 + p1, n0 + n1, n_words)
+    held = []
+    for k, pos, neg in ((0, p0, n0), (1, p1, n1)):
+        half = telling(tally, F.col(f"p{k}"), F.col(f"n{k}"), pos, neg, n_pieces)
+        other = rows.filter(F.col("h").bitwiseAND(F.lit(1)) == 1 - k)
+        odds = spark.createDataFrame(list(half.items()), "piece string, odds double")
+        hits = exploded(other).join(F.broadcast(odds), "piece").groupBy("h").agg(F.max("odds").alias("top"), F.sum("odds").alias("total"), F.count(F.lit(1)).alias("n"))
+        held += other.select("h", "y", "style").join(F.broadcast(hits), "h", "left").select("y", "top", "total", "n", "style").collect()  # at most max_labelled rows of numbers
+    x = np.array([_features(r["top"] or 0.0, r["total"] or 0.0, r["n"] or 0, r["style"]) for r in held])
+    model["weights"] = _logistic(x, np.array([r["y"] for r in held], float)).tolist()
+    model["words"] = telling(tally, F.col("p0") + F.col("p1"), F.col("n0") + F.col("n1"), p0 + p1, n0 + n1, n_pieces)
     return model
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with score: the probability that a text is toxic.
 
-    Null and empty texts score as texts without telling words. A column score is
+    Null and empty texts score as texts without any words. A column score is
     replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: CLASSES ** 3 counts, MAX_WORDS words
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES ** 3 counts, and words of a bounded sample
     docs = docs.drop("score")
     at, names = docs.columns.index(text), [*docs.columns, "score"]
 
@@ -326,8 +359,10 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             out = []
             for t in batch.column(at).to_pylist():
-                x = _features([words[w] for w in _words(t, restorer) if w in words])
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x, strict=True)))))))
+                pieces, style = _look_at(t, restorer)
+                odds = sorted(words[w] for w in pieces & words.keys())
+                x = _features(odds[-1] if odds else 0.0, math.fsum(odds), len(odds), style)
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, math.fsum(a * b for a, b in zip(weights, x, strict=True)))))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
