@@ -499,8 +499,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {r[0] for r in kept[0]} == clean
     assert Counter((r[0], r[1]) for r in kept[1]) == plain_shared_lines([(r[0], r[1], r[3]) for r in kept[0]], 5)
     assert all(r[4] == len(r[1]) for r in kept[1] if r[1] and r[0] % 3 == 0 and r[0] < 150)
-    fps = {r[0]: plain_fingerprint(r[1]) for r in kept[1]}
-    group = roots(sorted(fps), [(a, b) for a in fps for b in fps if b < a and (fps[a] ^ fps[b]).bit_count() <= 4])
+    sets = {r[0]: set(simhash.shingle_set(r[1]).tolist()) for r in kept[1]}
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    group = roots(sorted(sets), [(a, b) for a in sets for b in sets if b < a and near(sets[a], sets[b])])
     assert sorted(r[0] for r in kept[2]) == sorted(set(group.values()))
     before = {r[0]: r for r in kept[2]}
     assert all(r == before[r[0]] for r in kept[3]) and max(Counter(r[0] for r in kept[3]).values()) <= 2

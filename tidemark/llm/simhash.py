@@ -316,7 +316,10 @@ def _cross_pairs(batches, least: float):
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, component_id): the least key that can be reached over links of ``least`` Jaccard similarity of word shingles.
+    """(key, text_hash, root, component_id) per row: the least key that can be reached over links of ``least`` Jaccard similarity of word shingles.
+
+    ``root`` tells components apart, where ``component_id`` can't because one
+    key has several texts; ``text_hash`` is xxhash64 of the text.
 
     Candidates are what SimHash links within MAX_BITS and what shares a MinHash
     band; each is verified on the exact sets. Texts of fewer words than a
@@ -370,5 +373,5 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
             roots = connected_components(edges.unionByName(more))
     placed = nodes.select("node", "_least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    placed = placed.join(ids, "root").select("node", "component_id")
-    return prints.join(placed, "node").select(key, "component_id")
+    placed = placed.join(ids, "root").select("node", "root", "component_id")
+    return prints.join(placed, "node").select(key, F.col("hash").alias("text_hash"), "root", "component_id")
