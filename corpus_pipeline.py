@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, packing, simhash
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import fresh, materialize, released, table
 from tidemark.llm.queries import tokenizer_path, toxic_scores
 
 
@@ -47,13 +47,16 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the least id stays.
 
-    Repeated rows of one id and text are one document. Documents without an id
-    stay where a whole group has none.
+    Repeated rows of one id and text are one document. Of a group without any id
+    one document stays.
     """
     found = simhash.near_copies(docs.select("doc_id", "text"))
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    head_id, head_hash, row_hash = fresh(docs.columns, "_head_id", "_head_hash", "_row_hash")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("first")
+    heads = found.groupBy("root").agg(first).select(F.col("first.id").alias(head_id), F.col("first.hash").alias(head_hash))
+    rows = docs.withColumn(row_hash, F.xxhash64("text"))
+    kept = rows.join(heads, F.col("doc_id").eqNullSafe(F.col(head_id)) & (F.col(row_hash) == F.col(head_hash)), "left_semi")
+    return kept.dropDuplicates(["doc_id", row_hash]).select(*docs.columns)
 
 
 @keeping("size", "source_size", "target", "copies")
@@ -61,12 +64,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once for each copy that the mix takes of it, or not at all."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     mixed = mixing.mix(docs, "doc_id", keep=rest).filter(F.col("copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    (copy,) = fresh(mixed.columns, "_copy")
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
-    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path())
+    """Pieces of all documents, ids included, with their places in sequences of 1024 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path(), keep_ids=True)
 
 
 STAGES = [
@@ -82,9 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; a stage's intermediate tables go when its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with released(spark):
+            out = stage(spark, docs, sf_dir)
+            docs = materialize(out, f"pipeline-{k}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
