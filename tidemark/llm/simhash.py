@@ -39,10 +39,12 @@ LONG = 1 << 22
 DENSE = 1 << 15
 #: MinHash bands and the minima in each: a pair of Jaccard 0.8 shares no band with probability 0.00007.
 BANDS, ROWS = 24, 5
-#: Runs of more texts than this are linked to their first text before the rest of their pairs is looked at.
+#: Runs of more texts than this are linked to one text of theirs before the rest of their pairs is looked at.
 FEW = 4
+#: Of a long run's other pairs those are verified whose sketches of one bit a minimum agree in so many bits; a pair of Jaccard 0.8 agrees in fewer with probability 0.00001.
+BITS, AGREE = 2048, 1785
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD, _ODD_BITS = (np.random.default_rng(42).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BITS))
 
 
 def _words(data: bytes) -> Iterator[list[bytes]]:
@@ -219,14 +221,24 @@ def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarra
     return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, shingle, seed)]))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One number for each band of MinHash minima; none for an empty set."""
+def minima(hashes: np.ndarray, odd: np.ndarray = _ODD) -> np.ndarray:
+    """The MinHash minima of a set, one for each odd factor; none for an empty one."""
     if not len(hashes):
         return np.empty(0, np.uint64)
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _ODD).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 9):
+        least = np.minimum(least, (hashes[at : at + (1 << 9), None] * odd).min(axis=0))
+    return least
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One bit of each of BITS minima."""
+    return np.packbits((minima(hashes, _ODD_BITS) >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One number for each band of minima."""
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(-1, ROWS))], np.uint64)
 
 
 def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -241,35 +253,33 @@ def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 node.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 fp.append(_votes(pieces))
                 n.append(len(hashes))
-                band.append(bands(hashes).view(np.int64))
+                band.append(bands(minima(hashes)).view(np.int64))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(node), long(fp), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=[key, "hash", "node", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(node), long(fp), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=schema.names)
 
     schema = T.StructType([df.schema[key], *(T.StructField(c, T.LongType()) for c in ("hash", "node", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
     return df.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(run, schema)
 
 
-def _runs(batches, width: int) -> Iterator[list[np.ndarray]]:
-    """The columns of each run of equal first values, from sorted batches; a run may span batches."""
-    held: list[list[np.ndarray]] = []
+def _runs(batches) -> Iterator[pa.Table]:
+    """The rows of each run of equal first values, from sorted batches; a run may span batches."""
+    held: list[pa.RecordBatch] = []
 
-    def cut(cols):
-        ends = np.flatnonzero(np.diff(cols[0])) + 1
-        return zip([0, *ends.tolist()], [*ends.tolist(), len(cols[0])], strict=True)
+    def cut(rows: pa.Table, last: bool):
+        first = rows.column(0).to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(first)) + 1).tolist(), len(first)]
+        runs = list(zip(ends, ends[1:], strict=False))
+        yield from (rows.slice(a, b - a) for a, b in (runs if last else runs[:-1]) if b - a > 1)
+        if not last:
+            held[:] = rows.slice(ends[-2]).to_batches()  # the last run may go on
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)])
-        if held[-1][0][-1] != held[0][0][0]:
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            rest = [c[last:] for c in cols]
-            yield from ([c[a:b] for c in cols] for a, b in cut([c[:last] for c in cols]) if b - a > 1)
-            held = [rest]
+        if batch.num_rows:
+            held.append(batch)
+            if batch.column(0)[-1] != held[0].column(0)[0]:
+                yield from cut(pa.Table.from_batches(held), False)
     if held:
-        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-        yield from ([c[a:b] for c in cols] for a, b in cut(cols) if b - a > 1)
+        yield from cut(pa.Table.from_batches(held), True)
 
 
 def _batches(pieces: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -287,29 +297,43 @@ def _batches(pieces: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBat
 
 
 def _band_pairs(batches, least: float):
-    """Runs of (sig, node, n) to (a, b, sig): all pairs of short runs; a long run's texts with its first one, sig told."""
+    """Runs of (sig, node, n) to (a, b, sig): all pairs of short runs; a long run's texts with one of them, sig told.
+
+    Which one differs from band to band, so a group of many near copies has as
+    many chances to be linked as it shares bands.
+    """
 
     def pieces():
-        for sig, node, n in _runs(batches, 3):
+        for run in _runs(batches):
+            sig, node, n = (c.to_numpy() for c in run.columns)
             if len(sig) <= FEW:
                 i, j = np.triu_indices(len(sig), 1)
                 ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
                 yield node[i][ok], node[j][ok], np.zeros(int(ok.sum()), np.int64)
-            else:  # the first with itself, too: it is one of the run's texts
-                yield np.full(len(sig), node.min()), node, sig
+            else:  # that one with itself, too: it is one of the run's texts
+                order = (node ^ sig).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                yield np.full(len(sig), node[order.argmin()]), node, sig
 
     return _batches(pieces(), ["a", "b", "sig"])
 
 
 def _cross_pairs(batches, least: float):
-    """Runs of (sig, root, node, n) to pairs (a, b) of different roots; a run is sorted by root."""
+    """Runs of (sig, root, node, n, bits) to pairs (a, b) of different roots whose sketches agree as those of near copies do."""
 
     def pieces():
-        for _, root, node, n in _runs(batches, 4):
-            ends = np.flatnonzero(np.diff(root)) + 1
-            for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+        for run in _runs(batches):
+            root, node, n = (run.column(k).to_numpy() for k in (1, 2, 3))
+            if (root == root[0]).all():
+                continue
+            bits = np.frombuffer(b"".join(run.column(4).to_pylist()), np.uint64).reshape(len(root), -1)
+            _, which, sizes = np.unique(root, return_inverse=True, return_counts=True)
+            order = np.lexsort((which, sizes[which]))  # small components first: the largest is only compared with
+            root, node, n, bits = root[order], node[order], n[order], bits[order]
+            ends = [*(np.flatnonzero(np.diff(root)) + 1).tolist()]
+            for a, b in zip([0, *ends], ends, strict=False):
                 for k in range(a, b):
                     ok = np.minimum(n[b:], n[k]) >= least * np.maximum(n[b:], n[k])
+                    ok[ok] = np.bitwise_count(bits[b:][ok] ^ bits[k]).sum(axis=1) <= BITS - AGREE
                     yield np.full(int(ok.sum()), node[k]), node[b:][ok]
 
     return _batches(pieces(), ["a", "b"])
@@ -324,9 +348,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     Candidates are what SimHash links within MAX_BITS and what shares a MinHash
     band; each is verified on the exact sets. Texts of fewer words than a
     shingle are one shingle; texts without words are equal. A long run's texts
-    are compared with its first text, and then whatever isn't connected yet is
-    compared among itself, so no pair is left out and near copies in numbers
-    cost no square. Null keys are never a component's id unless it holds no
+    are compared with one of them, which differs from band to band, and then
+    whatever isn't connected yet and agrees in AGREE bits of a sketch, so near
+    copies in numbers cost no square. Null keys are never a component's id unless it holds no
     other.
     """
     prints = materialize(_prints(df, key, text, shingle), "near-prints")
@@ -366,8 +390,19 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     roots = connected_components(edges)
     runs = met.filter("sig <> 0").select("sig", F.col("b").alias("node"))
     if not runs.isEmpty():
-        runs = runs.join(nodes.select("node", "n"), "node").join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "node", "n")
-        more = runs.repartition("sig").sortWithinPartitions("sig", "root").mapInArrow(lambda it: _cross_pairs(it, least), "a long, b long")
+        runs = runs.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "node")
+        # A run whose texts are all connected by now needs nothing more.
+        open_ = runs.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
+        runs = materialize(runs.join(open_, "sig", "left_semi"), "near-runs")
+
+        def sketches_of(batches):
+            for batch in batches:
+                found = [sketch(np.array(x, np.int64).view(np.uint64)) for x in batch.column(2).to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["node", "n", "bits"])
+
+        sketches = sets.join(runs.select("node").distinct(), "node", "left_semi").select("node", "n", "set").mapInArrow(sketches_of, "node long, n long, bits binary")
+        runs = runs.join(sketches, "node").select("sig", "root", "node", "n", "bits")
+        more = runs.repartition("sig").sortWithinPartitions("sig").mapInArrow(lambda it: _cross_pairs(it, least), "a long, b long")
         more = materialize(verified(materialize(distinct(more), "near-pairs")), "near-edges")
         if not more.isEmpty():
             roots = connected_components(edges.unionByName(more))
