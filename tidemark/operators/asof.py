@@ -22,6 +22,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     return out.select(*left.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
-def value_on_or_before(df: DataFrame, day: str, value: str, at, by: list[str] = ()) -> DataFrame:
-    """The latest value on or before a day, per group."""
-    return df.filter(F.col(day) <= at).groupBy(*by).agg(F.max_by(value, day).alias(value), F.max(day).alias(day))
+def value_on_or_before(df: DataFrame, day: str, value: str, at, by: list[str] = (), tie: str | None = None) -> DataFrame:
+    """The latest value on or before a day, per group; of one day's values the one of the largest ``tie``."""
+    order = F.struct(day, tie) if tie else F.col(day)
+    return df.filter(F.col(day) <= at).groupBy(*by).agg(F.max_by(value, order).alias(value), F.max(day).alias(day))

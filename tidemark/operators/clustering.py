@@ -29,12 +29,12 @@ def first_fit(rows: DataFrame, edges: DataFrame, key: str, order: list[str], mem
     inside = ranked.join(near, ranked[key] == near["a"], "left").select(key, "root", "n", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, heads, taken = pdf.sort_values("n"), [], {}
+        pdf, nth, taken = pdf.sort_values("n"), {}, {}  # heads by the number in which they came
         for k, near in zip(pdf[key], pdf["near"], strict=True):
-            open_ = [heads.index(taken[x]) for x in near if x in taken and (members or taken[x] == x)]
-            taken[k] = heads[min(open_)] if open_ else k
+            open_ = [taken[x] for x in near if x in taken and (members or taken[x] == x)]
+            taken[k] = min(open_, key=nth.__getitem__) if open_ else k
             if not open_:
-                heads.append(k)
+                nth[k] = len(nth)
         return pd.DataFrame({key: list(taken), "cluster": list(taken.values())})
 
     alone = inside.filter(F.size("near") == 0).select(key, F.col(key).alias("cluster"))

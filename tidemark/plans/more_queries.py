@@ -9,7 +9,7 @@ from ..operators import classify, clustering, listing, matching, merging, sequen
 from ..sources import files, pages, sinks
 from ..streaming import state
 from .queries import day, lit_day, query
-from .storage import materialize, shared_dir, table
+from .storage import shared_dir, table
 
 
 @query("""SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS slug, regexp_matches(lower(p_name), '^(small|large|old) ') AS room FROM part""")
@@ -190,7 +190,9 @@ def linked_data_events(spark, d):
 SELECT p_partkey, least(p_partkey, coalesce((SELECT min(b) FROM e WHERE a = p_partkey), p_partkey)) AS cluster FROM part""")
 def first_fit_clusters(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
-    edges = matching.pairs(p, p, [matching.Rule("name", ("p_brand", "p_name"))], key="p_partkey").select("a", "b")
+    # Equal rows hang on the first of them, so that no block is paired with itself.
+    first = p.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("a"))
+    edges = p.join(first, ["p_brand", "p_name"]).select("a", F.col("p_partkey").alias("b")).filter("a <> b")
     return clustering.first_fit(p, edges, "p_partkey", ["p_partkey"])
 
 
@@ -203,49 +205,17 @@ def canonical_venue_lookup(spark, d):
 
 @query("""SELECT user_id, min(ts)::DATE AS first_day FROM events GROUP BY 1""")
 def stateful_first_seen(spark, d):
-    """Keys shown once by a stream over the table, read back as a batch."""
+    """Each key's first day by a stream over the table, read back as a batch."""
     import uuid
 
     out = f"{shared_dir(spark)}/tidemark/first-seen-{uuid.uuid4().hex}"
-    e = table(spark, d, "events")
-    src = f"{out}/in"
-    e.select("user_id", F.col("ts").cast("timestamp").alias("at")).orderBy("at").coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("user_id long, at timestamp").parquet(src)
-    seen = state.first_seen(stream, ["user_id"], "at", "60 days")
-    seen.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at")).write.parquet(f"{out}/in")
+    stream = spark.readStream.schema("user_id long, at timestamp").parquet(f"{out}/in")
+    put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows")  # noqa: E731  the whole state, once for each batch
+    state.earliest(stream, ["user_id"], "at").writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long, at timestamp").parquet(f"{out}/rows").select("user_id", day("at").alias("first_day"))
 
 
-#: Made-up records: id, name, venue, start, end, link, age.
-SAMPLE = [
-    (1, "Mara Quill: Quiet Rooms", "Serralves", "2026-07-09", "2026-11-01", None, "a"),
-    (2, "\"Quiet Rooms\" Exhibition", "Serralves", "2026-08-27", "2026-11-01", None, "b"),
-    (3, "Contemporary Paper Art", "Various Galleries", "2026-09-01", None, None, "c"),
-    (4, "Contemporary Paper Art", "City Centre", "2026-09-01", None, None, "d"),
-    (5, "Ironmoth", "Hard Club", "2026-10-01T21:00", None, "https://www.hardclub.pt/e/ironmoth", "e"),
-    (6, "Noite de metal", "Hard Club", "2026-10-01T21:30", None, "https://hardclub.pt/e/ironmoth/?utm_a=1", "f"),
-    (7, "Duo Amber", "Casa da Música", "2026-11-05T21:00", None, "https://casadamusica.com/event/duo", "g"),
-    (8, "The Pianists", "Casa da Música", "2026-11-05T21:00", None, "https://casadamusica.com/en/event/pianists", "h"),
-    (9, "Filmfest 2026 - Lanterna", "Batalha", "2026-11-25T16:30", None, None, "i"),
-    (10, "Lanterna, de Ana Sol", "Batalha", "2026-11-20", "2026-11-25", None, "j"),
-    (11, "VELUDO", "Rivoli", "2026-11-06T19:30", None, None, "k"),
-    (12, "Companhia apresenta VELUDO", "Rivoli", "2026-11-06T19:30", None, None, "l"),
-    (13, "Accordia", "Livraria de Serralves", "2026-11-08T18:00", None, "https://agenda-porto.pt/evento/x", "m"),
-    (14, "Concerto Accordia em Serralves", "Serralves", "2026-11-08T18:00", None, "https://serralves.pt/evento/y", "n"),
-    (15, "Quiz night", "Ferro Bar", "2026-11-01", None, None, "o"),
-    (16, "Quiz night", "Ferro Bar", "2026-12-01", None, None, "p"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, 'same venue'), (3, 4, 'vague venue'), (5, 6, 'same page'), (7, 8, 'other language'), (9, 10, 'festival title'),
-(11, 12, 'rare word'), (13, 14, 'aggregator copy'), (15, 16, 'exact')) t(a, b, rule)""")
-def identity_reasons(spark, d):
-    """All rules over made-up records; the SQL states the pairs that the rules' definitions give."""
-    ready = matching.prepared(spark.createDataFrame(SAMPLE, "id long, name string, venue string, start string, end string, link string, age string"))
-    ready = materialize(matching.with_rare_words(ready, ready), "identity")  # eight joins read it
-    return matching.pairs(ready, ready, [rule() for rule in matching.STANDARD]).select("a", "b", "rule")
-
-
 @query("""WITH c AS (SELECT p_brand, p_name, min(p_partkey) AS item FROM part WHERE p_size > 25 GROUP BY 1, 2)
 SELECT p.p_partkey AS id, CASE WHEN p.p_size > 45 THEN p.p_partkey ELSE c.item END AS item FROM part p LEFT JOIN c USING (p_brand, p_name) WHERE p.p_size > 45 OR c.item IS NOT NULL""")
 def catalog_matches(spark, d):

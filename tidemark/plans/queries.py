@@ -152,21 +152,25 @@ ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
 WHERE len(list_intersect(wa, wb)) >= 0.6 * (len(wa) + len(wb) - len(list_intersect(wa, wb)))""")
 def name_match_pairs(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", text.name_tokens("p_name").alias("words"))
-    rule = matching.Rule("name", ("p_brand", "p_type"), text.compare_tokens("a.words", "b.words").isin("equal", "similar"), text.compare_tokens("a.words", "b.words"))
-    return matching.pairs(p, p, [rule], key="p_partkey").select("a", "b", F.col("reason").alias("match"))
+    p = matching.with_prefix_words(p, "p_partkey", "words", 0.6)
+    m = text.compare_tokens("a.words", "b.words")
+    return matching.pairs(p, p, [matching.Rule("name", ("p_brand", "p_type", "word"), m.isin("equal", "similar"), m, "prefix")], key="p_partkey").select("a", "b", F.col("reason").alias("match"))
 
 
-@query("""WITH r AS (SELECT doc_id, lang, source, list_distinct(list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), lambda x: len(x) >= 12)) AS words FROM documents),
-df AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM r) GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3),
-u AS (SELECT doc_id, lang, source, w FROM (SELECT doc_id, lang, source, unnest(words) AS w FROM r) SEMI JOIN df USING (w))
-SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.w = b.w AND a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), lambda x: len(x) >= 4))) AS w FROM documents),
+df AS (SELECT w FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3),
+u AS (SELECT * FROM r SEMI JOIN df USING (w))
+SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2""")
 def rare_token_pairs(spark, d):
-    words = F.array_distinct(F.filter(F.split(text.kebab("text"), "-"), lambda w: F.length(w) >= 12))
-    r = table(spark, d, "documents").select("doc_id", "lang", "source", words.alias("words"))
-    rare = matching.document_frequency(r).filter(F.col("df").between(2, 3))
-    u = r.select("doc_id", "lang", "source", F.explode("words").alias("word")).join(rare.select("word"), "word", "left_semi")
-    met = u.alias("a").join(u.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return met.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    """Documents that share words which only two or three of them have: each such word makes three pairs at most."""
+    words = F.array_distinct(F.filter(F.split(text.kebab("text"), "-"), lambda w: F.length(w) >= 4))
+    u = table(spark, d, "documents").select("doc_id", F.explode(words).alias("word"))
+    # One aggregate a word; longer lists than three are given up while they are gathered.
+    held = u.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max("doc_id").alias("z"), F.sum("doc_id").alias("all")).filter("n BETWEEN 2 AND 3")
+    y = F.col("all") - F.col("x") - F.col("z")
+    ab = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    met = F.when(F.col("n") == 2, F.array(ab(F.col("x"), F.col("z")))).otherwise(F.array(ab(F.col("x"), y), ab(F.col("x"), F.col("z")), ab(y, F.col("z"))))
+    return held.select(F.explode(met).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query("""SELECT e.event_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') e
@@ -185,14 +189,11 @@ def nearest_preceding_anchor(spark, d):
     return asof.asof_join(c.filter("role = 'assistant'"), users, ["conv_id"], "turn", ["user_turn"], strict=True).select("conv_id", "turn", "user_turn")
 
 
-@query("""SELECT o_custkey, arg_max(o_totalprice, o_orderdate) AS o_totalprice, max(o_orderdate)::DATE AS "day" FROM
-(SELECT * FROM orders WHERE o_orderdate <= DATE '1997-06-30' QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate) = 1) GROUP BY 1""")
+@query("""SELECT o_custkey, o_totalprice, o_orderdate::DATE AS "day" FROM orders WHERE o_orderdate <= DATE '1997-06-30' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
 def latest_value_on_or_before(spark, d):
-    from pyspark.sql import Window
-
-    o = table(spark, d, "orders").select("o_custkey", "o_totalprice", day("o_orderdate").alias("day"))
-    alone = o.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("o_custkey", "day"))).filter("n = 1")
-    return asof.value_on_or_before(alone, "day", "o_totalprice", lit_day("1997-06-30"), ["o_custkey"])
+    """Of orders of one day the one of the larger key counts."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", day("o_orderdate").alias("day"))
+    return asof.value_on_or_before(o, "day", "o_totalprice", lit_day("1997-06-30"), ["o_custkey"], tie="o_orderkey")
 
 
 @query("""WITH found AS (
@@ -217,13 +218,16 @@ def alias_lookup_passthrough(spark, d):
 @query("""SELECT a.p_partkey, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_retailprice DESC, b.p_partkey)::INT AS place
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey QUALIFY place <= 4""")
 def top_n_same_group(spark, d):
+    """The best five of a group are found once; each row takes four of them that aren't itself."""
     from pyspark.sql import Window
 
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
-    b = p.select(F.col("p_partkey").alias("other"), "p_brand", "p_type", F.col("p_retailprice").alias("price"))
-    met = p.join(b, ["p_brand", "p_type"]).filter("p_partkey <> other")
-    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("price"), "other"))
-    return met.withColumn("place", place).filter("place <= 4").select("p_partkey", "other", "place")
+    n = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(F.desc("p_retailprice"), "p_partkey"))
+    best = p.withColumn("n", n).filter("n <= 5").select("p_brand", "p_type", F.col("p_partkey").alias("other"), "n")
+    own = best.select(F.col("other").alias("p_partkey"), F.col("n").alias("own"))
+    met = p.select("p_partkey", "p_brand", "p_type").join(best, ["p_brand", "p_type"]).join(own, "p_partkey", "left").filter("p_partkey <> other")
+    place = (F.col("n") - F.when(F.col("own") < F.col("n"), 1).otherwise(0)).cast("int")
+    return met.select("p_partkey", "other", place.alias("place")).filter("place <= 4")
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0

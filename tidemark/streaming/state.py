@@ -19,6 +19,11 @@ def first_seen(stream: DataFrame, keys: list[str], at: str, within: str) -> Data
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
+def earliest(stream: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Each key with its earliest time, in whatever order rows come; for the complete or update mode."""
+    return stream.groupBy(*keys).agg(F.min(at).alias(at))
+
+
 def windowed_counts(stream: DataFrame, at: str, late: str, size: str, by: list[str]) -> DataFrame:
     """Counts per tumbling window, late rows up to the watermark (R10's time-based kin)."""
     return stream.withWatermark(at, late).groupBy(F.window(at, size), *by).agg(F.count(F.lit(1)).alias("n"))
