@@ -69,6 +69,20 @@ def store(payload: bytes, codec: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
+def pcm_file(pcm: np.ndarray, rate: int) -> bytes:
+    """A mono RIFF file of 16-bit PCM."""
+    data = pcm.astype("<i2").tobytes()
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(data))
+    return head + data
+
+
+def features(pcm: np.ndarray) -> str:
+    """Samples, peak, zero crossings and mean energy of PCM, as samples:peak:crossings:energy."""
+    wide = pcm.astype(np.int64)
+    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
+    return f"{len(pcm)}:{int(np.abs(wide).max(initial=0))}:{crossings}:{int(wide @ wide) // max(len(pcm), 1)}"
+
+
 def parse(media: bytes) -> tuple[int, int, int, bytes] | None:
     """(codec, rate, block bytes, coded data) of a mono telephony file; None if it isn't one."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
@@ -187,28 +201,33 @@ def _split(batch: pa.RecordBatch, column: int):
     yield batch.slice(start)
 
 
-def decode(df: DataFrame, media: str = "media", to: int = 16000) -> DataFrame:
-    """``df`` with codec, payload (coded samples), rate and pcm (16-bit little-endian at ``to`` Hz) of its media column.
+def decode(df: DataFrame, media: str = "media", to: int = 16000, stored: bool = False) -> DataFrame:
+    """``df`` with codec, payload (coded samples), rate, sound and pcm (16-bit little-endian at ``to`` Hz) of its media column.
 
-    Rows whose media are null, empty, not RIFF, not mono or of another codec get
-    nulls. Parts of an ADPCM block at a file's end are left out. Columns of df
-    with the new names are replaced.
+    ``sound``: what ``features`` tells of the resampled PCM. ``stored``: in place
+    of pcm a column wav, the resampled PCM as a RIFF file. Rows whose media are
+    null, empty, not RIFF, not mono or of another codec get nulls. Parts of an
+    ADPCM block at a file's end are left out. Columns of df with the new names
+    are replaced.
     """
-    df = df.drop("codec", "payload", "rate", "pcm")
+    last = "wav" if stored else "pcm"
+    df = df.drop("codec", "payload", "rate", "sound", last)
     at = df.columns.index(media)
-    added = [T.StructField("codec", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())]
+    added = [T.StructField("codec", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("rate", T.IntegerType()), T.StructField("sound", T.StringType()), T.StructField(last, T.BinaryType())]
 
     def run(batches):
         for whole in batches:
             for batch in _split(whole, at):
                 files = [parse(m) if m else None for m in batch.column(at).to_pylist()]
                 pcm = expand(files, to)
+                put = (lambda p: pcm_file(p, to)) if stored else (lambda p: p.astype("<i2").tobytes())
                 cols = [
                     pa.array([f and CODEC_NAMES[f[0]] for f in files], pa.string()),
                     pa.array([f and payload_of(f[0], f[2], f[3]) for f in files], pa.binary()),
                     pa.array([f and to for f in files], pa.int32()),
-                    pa.array([None if p is None else p.astype("<i2").tobytes() for p in pcm], pa.binary()),
+                    pa.array([None if p is None else features(p) for p in pcm], pa.string()),
+                    pa.array([None if p is None else put(p) for p in pcm], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "codec", "payload", "rate", "pcm"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "codec", "payload", "rate", "sound", last])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added]))
