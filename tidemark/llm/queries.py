@@ -18,11 +18,11 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = F.element_at(F.array(*map(F.lit, (telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM))), (F.pmod(F.crc32(payload), F.lit(3)) + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), payload.alias("p"), codec.alias("c"))
     files = docs.select("doc_id", "n_bytes", telephony.telephony_media(F.col("p"), F.col("c")).alias("media"))
-    out = telephony.decode(files)
-    feature = F.concat_ws(":", "codec", F.col("rate").cast("string"), F.floor(F.length("pcm") / 2).cast("string"), F.crc32("pcm").cast("string"))
+    out = telephony.decode(files, stored=True)
     return out.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", "codec", F.col("rate").cast("string"), "sound").alias("feature"), F.length("wav").cast("long").alias("wav_bytes"), F.sha2("wav", 256).alias("wav_sha256"),
     )
 
 

@@ -138,7 +138,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 81
     """The k best candidates of each query: query_id, rank (from 1), vec_id, score.
 
     ``candidates`` and ``queries``: vec_id long, v array<long>, as ``quantized``
-    makes them; rows with a null id or vector take no part. Score: integer inner
+    makes them; rows with a null id or vector take no part. A vec_id tells rows
+    apart: rows that repeat one are candidates of their own, and those of a
+    repeated query are ranked together. Score: integer inner
     product; ties go to the smaller vec_id. A query never meets its own vec_id,
     nor vectors of another dimension. Fewer candidates than k: all of them. The
     sums must fit a long. Every block of ``block`` queries is one pass over the
