@@ -37,6 +37,8 @@ CLASSES = len(ALPHABET) + 1
 MAX_LABELLED = 100_000
 #: Readings of one span that haven't met within so many characters are settled by what is likeliest so far.
 SETTLE = 1024
+#: A task holds the pieces of texts up to about so many before it hands them on.
+MOST_HELD = 50_000
 #: Words count with their beginnings of these lengths, so that inflected forms tell, too.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -308,9 +310,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def look(batches):
         restorer = Restorer(CharModel(sent.value))
         for batch in batches:
-            got = [_look_at(t, restorer) for t in batch.column(2).to_pylist()]
-            cols = [batch.column(0), batch.column(1), pa.array([[*p, ""] for p, _ in got], pa.list_(pa.string())), pa.array([s for _, s in got], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "y", "pieces", "style"])
+            first, pieces, style, n = 0, [], [], 0
+            for k, t in enumerate(batch.column(2)):
+                found, numbers = _look_at(t.as_py(), restorer)
+                pieces.append([*found, ""])
+                style.append(numbers)
+                n += len(found)
+                if n >= MOST_HELD or k + 1 == batch.num_rows:
+                    cols = [batch.column(0)[first : k + 1], batch.column(1)[first : k + 1], pa.array(pieces, pa.list_(pa.string())), pa.array(style, pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "y", "pieces", "style"])
+                    first, pieces, style, n = k + 1, [], [], 0
 
     # The empty piece counts documents.
     seen = texts.select(F.xxhash64("t").alias("h"), "y", "t").mapInArrow(look, "h long, y int, pieces array<string>, style array<double>")
