@@ -37,6 +37,8 @@ CLASSES = len(ALPHABET) + 1
 MAX_LABELLED = 100_000
 #: Readings of one span that haven't met within so many characters are settled by what is likeliest so far.
 SETTLE = 1024
+#: Characters that are counted at once.
+COUNTED = 1 << 18
 #: A task holds the pieces of texts up to about so many before it hands them on.
 MOST_HELD = 50_000
 #: Words count with their beginnings of these lengths, so that inflected forms tell, too.
@@ -66,10 +68,11 @@ _MARK = np.array([0x20 < k < 0x7F and not chr(k).isalnum() for k in range(0x250)
 
 
 def _codes(text: str) -> np.ndarray:
+    """The classes of a text in small letters."""
     table = np.zeros(0x250, np.int64)
     for k, c in enumerate(ALPHABET):
         table[ord(c)] = k + 1
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     return np.where(points < 0x250, table[np.minimum(points, 0x24F)], 0)
 
 
@@ -78,12 +81,29 @@ def char_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches):
         total = np.zeros(CLASSES**3, np.int64)
+
+        def add(parts: list[tuple[str, str]]) -> None:
+            # Two characters before each part are its context only: no trigram ends there.
+            c = _codes("".join(a + b for a, b in parts))
+            ends = np.ones(len(c), bool)
+            starts = np.cumsum([0, *(len(b) + 2 for _, b in parts[:-1])])
+            ends[starts] = ends[starts + 1] = False
+            grams = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+            total[:] += np.bincount(grams[ends[2:]], minlength=CLASSES**3)
+
+        parts: list[tuple[str, str]] = []
+        n = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    for at in range(0, len(t), 1 << 20):  # pieces overlap by two characters
-                        c = np.concatenate([[0, 0], _codes(t[max(0, at - 2) : at + (1 << 20)])]) if at == 0 else _codes(t[at - 2 : at + (1 << 20)])
-                        total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+            for t in batch.column(0):
+                t = (t.as_py() or "").lower()
+                for at in range(0, len(t), COUNTED):
+                    parts.append((t[at - 2 : at] if at else "\0\0", t[at : at + COUNTED]))
+                    n += len(parts[-1][1])
+                    if n >= COUNTED:
+                        add(parts)
+                        parts, n = [], 0
+        if parts:
+            add(parts)
         grams = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(total[grams])], names=["gram", "n"])
 
