@@ -277,3 +277,21 @@ def test_scratch_needs_a_shared_folder_off_one_machine(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file:").replace("//", "/")) and kept.count() == 3
+
+
+def test_batches_for_python_are_bounded_unless_the_session_says(spark):
+    from tidemark.llm.common import BATCH, small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        small_batches(spark)
+        assert spark.conf.get(key) == BATCH
+        spark.conf.set(key, "1m")
+        small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)

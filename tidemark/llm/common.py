@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import by_value
 from ..plans.storage import materialize, released, shared_dir, table
 
-__all__ = ["by_value", "fresh", "let", "materialize", "released", "running", "shared_dir", "table", "utf8"]
+__all__ = ["by_value", "fresh", "let", "materialize", "released", "running", "shared_dir", "small_batches", "table", "utf8"]
+
+#: Bytes of a batch that Spark hands to Python, where the session doesn't say.
+BATCH = "4m"
 
 
 def utf8(col: str | Column) -> Column:
@@ -19,6 +22,19 @@ def utf8(col: str | Column) -> Column:
     return F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in batches of at most ``BATCH``, unless the session sets a size itself.
+
+    Rows of texts fill Spark's own 64 MB, and a batch is held several times at
+    once: by Spark before and after, and by the Python worker as Arrow, as
+    strings and as results. The setting is read when a query is planned, so it
+    stays in the session.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH)
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores in front of each that a column has already (in any case)."""
     taken = {c.lower() for c in columns}

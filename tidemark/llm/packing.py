@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, fresh, materialize
+from .common import by_value, fresh, materialize, small_batches
 
 by_value(__name__)
 
@@ -131,6 +131,7 @@ def pieces(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(key, text).mapInArrow(run, schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
-from .common import by_value, materialize
+from .common import by_value, materialize, small_batches
 
 by_value(__name__)
 
@@ -97,6 +97,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int = 4) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=[key, "fp"])
 
     schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType())])
+    small_batches(df.sparkSession)
     return df.select(key, text).mapInArrow(run, schema)
 
 
@@ -258,6 +259,7 @@ def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(node), long(fp), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=schema.names)
 
     schema = T.StructType([df.schema[key], *(T.StructField(c, T.LongType()) for c in ("hash", "node", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    small_batches(df.sparkSession)
     return df.select(key, F.xxhash64(text).alias("hash"), text).mapInArrow(run, schema)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, materialize
+from .common import by_value, materialize, small_batches
 
 by_value(__name__)
 
@@ -107,6 +107,7 @@ def char_counts(df: DataFrame, text: str = "text") -> DataFrame:
         grams = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(total[grams])], names=["gram", "n"])
 
+    small_batches(df.sparkSession)
     return df.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -258,6 +259,7 @@ STYLES = 5
 
 def deobfuscated(df: DataFrame, grams: dict[int, int], text: str = "text") -> DataFrame:
     """``df`` with ``text`` lower-cased and its obfuscated spans decoded."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(grams)  # at most CLASSES ** 3 numbers
     at = df.columns.index(text)
 
@@ -378,6 +380,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     Null and empty texts score as texts without any words. A column score is
     replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES ** 3 counts, and words of a bounded sample
     docs = docs.drop("score")
     at, names = docs.columns.index(text), [*docs.columns, "score"]
