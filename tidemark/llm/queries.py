@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, pseudonyms, repeats, sharding, simhash, telephony, topk, toxicity
-from .common import table, utf8
+from . import codebooks, copies, lines, mixing, packing, pseudonyms, repeats, sharding, simhash, tandem, telephony, topk, toxicity
+from .common import let, materialize, table, utf8
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,85 @@ ranked AS (
 SELECT doc_id, size, source_size, target, ((floor(rn * each + shift) - floor((rn - 1) * each + shift)) * size)::BIGINT AS taken FROM ranked
 """
 
+def op11_quotient_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copy_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY norm)
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), keep=("label",))
+    rows = materialize(found.rows, "codes")
+    errors = rows.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    met = rows.join(errors, F.col("label").eqNullSafe(F.col("_label")))
+    return met.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def _op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after the other; squared distances are exact in doubles, as the components are small integers."""
+    near = """SELECT p.n, p.part, arg_min(b.entry, (list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c))::BIGINT::HUGEINT * 65536 + b.entry) AS entry,
+        min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c))::BIGINT) AS d
+      FROM p JOIN {books} b ON p.part = b.part GROUP BY p.n, p.part"""
+    steps = [
+        f"""v AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS n, * FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        f"p AS MATERIALIZED (SELECT n, part, w[part * (len(w) // {parts}) + 1 : (part + 1) * (len(w) // {parts})]::DOUBLE[] AS x FROM v, (SELECT unnest(range({parts})) AS part))",
+        f"b0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x AS c FROM p WHERE n <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(books=f'b{k}')})")
+        if k < rounds:
+            steps.append(f"""m{k} AS MATERIALIZED (
+      SELECT part, entry, list(floor(total / met) ORDER BY pos) AS c FROM (
+        SELECT part, entry, pos, sum(y) AS total, count(*) AS met FROM (
+          SELECT p.part, a.entry, unnest(p.x) AS y, unnest(range(len(p.x))) AS pos FROM p JOIN a{k} a ON p.n = a.n AND p.part = a.part)
+        GROUP BY part, entry, pos) GROUP BY part, entry)""")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.entry = m.entry)")
+    steps.append(f"""coded AS (
+      SELECT n, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY n)""")
+    steps.append(f"""digest AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS h FROM (
+      SELECT part, entry, unnest(c) AS y, unnest(range(len(c))) AS pos FROM b{rounds}))""")
+    return "WITH " + ",\n".join(steps) + """
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM digest) AS codebooks_sha256 FROM coded JOIN v ON coded.n = v.n"""
+
+
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """A text whose words repeat from some word on, where the id's checksum is a multiple of ten; else the text itself."""
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g = F.floor(h / 10).cast("long")
+    of = let(F.struct(words.alias("w")), lambda s: _repeated(s["w"], g))
+    return F.when(h % 10 == 0, of).otherwise(text)
+
+
+def _repeated(w: Column, g: Column) -> Column:
+    n = F.size(w).cast("long")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
+    at = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, at(i).cast("int"))), " ")).otherwise("")
+
+
+def op13_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_period(F.col("doc_id"), F.col("text")).alias("text"))
+    out = tandem.periodic_runs(docs)
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("f"), F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("").alias("told"), "collapsed")
+    return out.select(
+        "doc_id", "n_runs", (-F.col("f.s")).alias("start"), F.col("f.length").alias("length"), (-F.col("f.p")).alias("period"),
+        F.floor(F.lit(1000) * F.col("f.length") / -F.col("f.p")).cast("long").alias("exponent_milli"), F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_configuration_packing": op2_configuration_packing,
@@ -156,10 +235,15 @@ QUERIES = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_simhash_variants": op9_simhash_variants,
     "op10_systematic_mix": op10_systematic_mix,
+    "op11_quotient_copies": op11_quotient_copies,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_tandem_runs": op13_tandem_runs,
 }
 
 ORACLES = {
     "op3_shared_lines": OP3_SQL,
     "op4_branch_and_bound": OP4_SQL,
     "op10_systematic_mix": OP10_SQL,
+    "op11_quotient_copies": OP11_SQL,
+    "op12_vector_codes": _op12_sql(),
 }
