@@ -295,3 +295,27 @@ def test_batches_for_python_are_bounded_unless_the_session_says(spark):
         spark.conf.unset(key)
         if before is not None:
             spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("blanks", [" ", "\t", "\n", " ", " \t\r\n", "  ", "\x1c "])
+def test_long_runs_of_blanks_have_the_library_s_ids(blanks):
+    encoder = packing.Encoder(queries.tokenizer_path())
+    text = "x" + blanks * (2_000_000 // len(blanks)) + "y"
+    assert (encoder.ids(text) == np.array(encoder.slow.encode(text, add_special_tokens=False).ids)).all()
+
+
+def test_op2_packs_long_runs_of_blanks(spark, tmp_path):
+    texts = [(1, "a" + " " * 1_200_000 + "b"), (2, "\n" * 1_000_000), (3, "plain words"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_configuration_packing(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    slow = packing.Encoder(queries.tokenizer_path()).slow
+    assert {r["doc_id"]: r["n"] for r in got} == {i: len(slow.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts}
+    assert got
+
+
+def test_readings_that_never_meet_are_kept_whole():
+    model = toxicity.CharModel({})
+    # Nothing is settled on the way: what is likeliest at the end holds for the whole span, as for a short one.
+    short, long = model.decode("1d10t" * 3), model.decode("1d10t" * 3000)
+    assert long.startswith(short[:10])
+    assert len(long) >= 900 * len(short)

@@ -49,8 +49,10 @@ class Encoder:
 
     #: A character stands among each of these when it is tried.
     TRIALS = ("a{0}b", "1{0}2", " {0}x", "x {0}{0} ", "!{0}?", "'{0}e", "{0}'s", "\t{0}\n", "{0}")
-    #: Runs without any blank that are longer than this go to the tokenizers library, whose time does not grow with their square.
+    #: Texts with longer runs without any blank, or of nothing but blanks, go to the tokenizers library: there, time doesn't grow
+    #: with the square of the former, nor the stack with the latter.
     SOLID = 100_000
+    BLANKS = re.compile(r"\s+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,13 +88,23 @@ class Encoder:
                 self.odd.add(c)
         self.known |= chars
 
+    def _long_run(self, text: str) -> bool:
+        if len(text) <= self.SOLID:
+            return False
+        at = 0
+        for blanks in self.BLANKS.finditer(text):
+            if max(blanks.start() - at, blanks.end() - blanks.start()) > self.SOLID:
+                return True
+            at = blanks.end()
+        return len(text) - at > self.SOLID
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or (self.special and self.special.search(text)):
             return np.array(self._slowly(text), dtype="<u4")
         chars = set(text)
         if new := chars - self.known:
             self._try(new)
-        if not chars.isdisjoint(self.odd) or (len(text) > self.SOLID and max(map(len, text.split())) > self.SOLID):
+        if not chars.isdisjoint(self.odd) or self._long_run(text):
             return np.array(self._slowly(text), dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
