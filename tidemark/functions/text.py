@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +45,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _base_letters() -> tuple[str, str]:
     """Letters of the Latin blocks that decompose to one ASCII letter plus marks, and those letters."""
     pairs = []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, games, prices, text, urls
 from ..operators import classify, facets, intervals, listing, merging, predicates, reports
-from ..sources import files, pages, sinks
+from ..sources import files, pages, records, sinks
 from .queries import RUNS, day, lit_day, order_runs, query
 from .storage import table
 
@@ -601,13 +601,34 @@ def linked_data_names(spark, d):
     return pages.linked_events(table(spark, d, "pages").select("page_id", ld.alias("html")), "page_id", "html").select("page_id", "name", "start")
 
 
-@query("""SELECT page_id, k AS place, 'https://x.pt/' || page_id || '/' || k AS link, 'Title ' || k AS title FROM pages, (SELECT unnest([1, 2]) AS k)""")
+_DECODED = """replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')"""
+
+
+@query(rf"""WITH items AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS i FROM pages),
+one AS (SELECT page_id, unnest(i) AS i, unnest(range(len(i)))::INT AS place FROM items WHERE len(i) >= 3)
+SELECT page_id, place, {_DECODED.format("regexp_extract(i, 'href=.([^>]*).>', 1)")} AS link, {_DECODED.format("regexp_extract(i, '>([^<>]+)</a>', 1)")} AS title FROM one""")
 def cards_of_pages(spark, d):
-    """Cards of a listing page by pattern, the first of each link."""
-    card = lambda k: F.concat(F.lit('<article><a href="https://x.pt/'), F.col("page_id").cast("string"), F.lit(f'/{k}">Title {k}</a></article>'))
-    html = table(spark, d, "pages").select("page_id", F.concat(card(1), card(2)).alias("html"))
-    got = pages.cards(html, "page_id", "html", r'<article><a href="([^"]+)">([^<]+)</a>', ["link", "title"])
-    return got.select("page_id", F.regexp_extract("link", "([0-9]+)$", 1).cast("int").alias("place"), "link", "title")
+    """The records of every page's linked group, mined from the pages as they are."""
+    got = records.mined_records(table(spark, d, "pages").select("page_id", "html"))
+    linked = got.filter(F.exists("places", lambda p: p.startswith("a/@href#")))
+    return linked.select("page_id", F.col("n").alias("place"), F.get("fields", F.lit(0)).alias("link"), F.get("fields", F.lit(1)).alias("title"))
+
+
+@query(f"""WITH {RUNS} SELECT o_orderkey, "start", CASE o_orderkey % 5 WHEN 0 THEN "end" WHEN 4 THEN last_day("end") ELSE least("end", last_day("start")) END AS "end",
+  CASE WHEN o_orderkey % 5 = 3 THEN '21:30' END AS time, o_orderkey % 5 = 4 AS month_only FROM runs""")
+def listed_date_ranges(spark, d):
+    """Start and end of the date texts of cards: ranges, numeric days, two days of a month, ends without a day."""
+    last = F.least("end", F.last_day("start"))
+    said = lambda c, f: F.date_format(c, f)
+    longer = lambda before, c, after: F.when(last > F.col("start"), F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    text = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(said("start", "d MMM yyyy"), F.lit(" – "), said("end", "d MMM yyyy")))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(said("start", "MMMM d, yyyy"), longer(" to ", said(last, "MMMM d, yyyy"), "")))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(longer("", said("start", "d"), " e "), said(last, "d MMM. yyyy")))
+        .when(F.col("o_orderkey") % 5 == 3, F.concat(said("start", "dd.MM.yyyy"), longer(" - ", said(last, "dd.MM.yyyy"), ""), F.lit(" sex, 21h30")))
+        .otherwise(F.concat(said("start", "d MMM yyyy"), F.lit(" - "), said("end", "MMM yyyy")))
+    )
+    return order_runs(spark, d).select("o_orderkey", records.listed_days(text, lit_day()).alias("x")).select("o_orderkey", "x.*")
 
 
 @query("""SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL""")
