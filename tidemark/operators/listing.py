@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, prices, urls
 from ..functions import text as t
+from ..plans.ranks import numbered
 from . import classify, sequences
 from .intervals import LONG_RUN_DAYS, in_window
 
@@ -92,8 +93,8 @@ def select_edition(events: DataFrame, first, last, recent: DataFrame, quota_clas
     long = F.datediff(F.coalesce("end", "start"), F.col("start")) > LONG_RUN_DAYS
     kept = kept.withColumns({"part": F.when(long, "long").otherwise("short"), "_key": t.kebab("name"), "score": prices.pick_score("pick", urls.is_real("link"), F.col("image").isNotNull())})
     pool = kept.filter("part = 'short'").join(recent.select(t.kebab("name").alias("_key")).distinct(), "_key", "left_anti")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "start", "slug"))  # one week's short events
-    return kept.join(pool.select("slug", place.alias("place")), "slug", "left").drop("_key")
+    pool = numbered(pool.select("slug", "score", "start"), [F.desc("score"), "start", "slug"], name="place")
+    return kept.join(pool.select("slug", (F.col("place") + 1).cast("int").alias("place")), "slug", "left").drop("_key")
 
 
 def suggest(places: DataFrame, said: str, names: Column, shown: str, n: int = 6) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranks import numbered
+
 
 def at_least(df: DataFrame, by: list, n: int) -> DataFrame:
     """Groups of n or more rows."""
@@ -43,10 +45,9 @@ def due(df: DataFrame, checked: str, today, days: int) -> DataFrame:
     return df.filter(F.datediff(today, F.col(checked)) >= days)
 
 
-def chunked(df: DataFrame, by: list, order: list, size: int = 100) -> DataFrame:
-    """``chunk``: the number (from 0) of each row's batch of ``size``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+def chunked(df: DataFrame, by: list[str], order: list, size: int = 100) -> DataFrame:
+    """``chunk``: the number (from 0) of each row's batch of ``size`` (K14); a group may be of any size."""
+    return numbered(df, order, by, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size).cast("long"))
 
 
 def shortest(df: DataFrame, by: list, value: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, prices, text, urls
-from ..operators import asof, classify, facets, intervals, matching, merging, reports, sequences
+from ..operators import asof, classify, facets, intervals, matching, merging, reports, sequences, spellings
 from ..operators.clustering import collapse_sessions, fold_prefixed, merge_by_priority
 from .storage import table
 
@@ -574,11 +574,22 @@ def semi_and_anti(spark, d):
     return docs.join(labels.filter("quality = 1"), "doc_id", "left_semi").join(labels.filter("toxic = 1"), "doc_id", "left_anti")
 
 
-@query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name)::INT AS distance FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE levenshtein(a.s_name, b.s_name) <= 2""")
+@query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name)::INT AS distance FROM supplier a JOIN supplier b ON a.s_name < b.s_name WHERE levenshtein(a.s_name, b.s_name) <= 2""")
 def close_spellings(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name")
-    rule = matching.Rule("spelling", ("s_nationkey",), text.close_spelling("a.s_name", "b.s_name", 2), F.levenshtein("a.s_name", "b.s_name").cast("string"))
-    return matching.pairs(s, s, [rule], key="s_suppkey").select("a", "b", F.col("reason").cast("int").alias("distance"))
+    """Suppliers whose names are a few edits apart, by pieces of names."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    near = spellings.close_texts(s, "s_name", 2)
+    key = lambda c: s.select(F.col("s_name").alias(c), F.col("s_suppkey").alias(f"k_{c}"))
+    return near.join(key("a"), "a").join(key("b"), "b").select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "distance")
+
+
+@query("""WITH w AS (SELECT DISTINCT x FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part) UNION SELECT DISTINCT lower(p_name) || ' hall' FROM part)
+SELECT a.x AS a, b.x AS b, levenshtein(a.x, b.x)::INT AS distance FROM w a JOIN w b ON a.x < b.x AND abs(length(a.x) - length(b.x)) <= 3 WHERE levenshtein(a.x, b.x) <= 3""")
+def close_names(spark, d):
+    """Venue-like names and single words, all pairs three edits apart at most."""
+    p = table(spark, d, "part")
+    names = p.select(F.explode(F.split("p_name", " ")).alias("x")).union(p.select(F.concat(F.lower("p_name"), F.lit(" hall"))))
+    return spellings.close_texts(names, "x", 3)
 
 
 @query("""SELECT sum((o_totalprice > 100000)::INT)::BIGINT AS short, count(*) AS total, CASE WHEN count(*) < 10 THEN 'too few in all' WHEN sum((o_totalprice > 100000)::INT) < 6 THEN 'too few short' ELSE 'enough' END AS reason, count(*) >= 10 AND sum((o_totalprice > 100000)::INT) >= 6 AS go FROM orders""")
