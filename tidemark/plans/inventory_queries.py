@@ -8,6 +8,7 @@ from ..functions import dates, games, prices, text, urls
 from ..operators import classify, facets, intervals, listing, merging, predicates, reports
 from ..sources import files, pages, records, sinks
 from .queries import RUNS, day, lit_day, order_runs, query
+from .ranks import numbered
 from .storage import table
 
 # --- dates ---------------------------------------------------------------------------------------
@@ -390,11 +391,13 @@ def spellings_per_key(spark, d):
     return s.groupBy(text.kebab("said").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("said")), "|").alias("spellings"))
 
 
-@query("""SELECT date_trunc('week', o_orderdate)::DATE AS edition, count(*) AS n, list(o_orderkey ORDER BY o_orderkey)::VARCHAR AS keys FROM orders GROUP BY 1""")
+@query("""SELECT date_trunc('week', o_orderdate)::DATE AS edition, count(*) OVER (PARTITION BY date_trunc('week', o_orderdate)) AS n,
+  row_number() OVER (PARTITION BY date_trunc('week', o_orderdate) ORDER BY o_orderdate, o_orderkey) - 1 AS place, o_orderkey FROM orders""")
 def rows_per_edition(spark, d):
-    """Rows grouped by edition, editions in order."""
-    o = table(spark, d, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("edition")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    return o.orderBy("edition").select("edition", "n", F.concat(F.lit("["), F.array_join("keys", ", "), F.lit("]")).alias("keys"))
+    """Rows grouped by edition, in order: each with its place and its edition's size."""
+    o = table(spark, d, "orders").select(F.to_date(F.date_trunc("week", "o_orderdate")).alias("edition"), "o_orderdate", "o_orderkey")
+    placed = numbered(o, ["o_orderdate", "o_orderkey"], ["edition"], "place")
+    return placed.join(placed.groupBy("edition").agg(F.count(F.lit(1)).alias("n")), "edition").select("edition", "n", "place", "o_orderkey")
 
 
 @query("""SELECT 'customer' AS kind, c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""")
