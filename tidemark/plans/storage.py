@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: a writer holds one, and Parquet's own 128 MB are much for tables that are read once or twice.
+ROW_GROUP = 16 << 20
+
 _held: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("held", default=None)
 
 
@@ -38,12 +41,29 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     if not keep and (held := _held.get()) is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The tables that ``materialize`` writes inside the block, for ``drop_tables`` later on."""
+    mark = _held.set([])
+    try:
+        yield _held.get()
+    finally:
+        _held.reset(mark)
+
+
 @contextlib.contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that ``materialize`` writes inside the block when the block ends.
@@ -51,16 +71,11 @@ def released(spark: SparkSession) -> Iterator[None]:
     Whatever is to outlive them must have been written before, by other means or
     with ``keep``.
     """
-    mark = _held.set([])
-    try:
-        yield
-    finally:
-        paths = _held.get()
-        _held.reset(mark)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+    with noted() as paths:
+        try:
+            yield
+        finally:
+            drop_tables(spark, paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
