@@ -216,6 +216,54 @@ def stateful_first_seen(spark, d):
     return spark.read.schema("user_id long, at timestamp").parquet(f"{out}/rows").select("user_id", day("at").alias("first_day"))
 
 
+def _streamed(spark, rows, build):
+    """What a stateful stream makes of a table's rows, all of them in one run."""
+    import uuid
+
+    from ..streaming import keyed
+    from .storage import shared_dir
+
+    own, out = keyed.with_state_store(spark), f"{shared_dir(spark)}/tidemark/keyed-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{out}/in")
+    stream = build(keyed, own.readStream.schema(rows.schema).parquet(f"{out}/in"))
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query("""WITH RECURSIVE g AS (SELECT user_id, min(date_trunc('millisecond', ts)) AS seen_at FROM events GROUP BY 1
+  UNION ALL SELECT g.user_id, n.seen_at FROM g, LATERAL (SELECT min(date_trunc('millisecond', ts)) AS seen_at FROM events e WHERE e.user_id = g.user_id AND date_trunc('millisecond', ts) >= g.seen_at + INTERVAL 7 DAY) n WHERE n.seen_at IS NOT NULL)
+SELECT user_id, seen_at FROM g""")
+def weekly_gate(spark, d):
+    """Users as sources: which of their events a weekly gate lets through."""
+    rows = table(spark, d, "events").select("user_id", F.date_trunc("millisecond", "ts").cast("timestamp").alias("at"))
+    return _streamed(spark, rows, lambda k, s: k.gated(s, "user_id", "at")).select("user_id", F.col("at").cast("timestamp_ntz").alias("seen_at"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type <> 'error' AS good FROM events),
+g AS (SELECT *, count(*) FILTER (good) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM e),
+n AS (SELECT *, count(*) FILTER (NOT good) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS f FROM g)
+SELECT user_id, ts AS seen_at, (CASE WHEN good THEN f % 3 ELSE (f - 1) % 3 + 1 END)::INT AS attempts, CASE WHEN good THEN 'done' WHEN f % 3 = 0 THEN 'rejected' ELSE 'pending' END AS status FROM n""")
+def retried_leads(spark, d):
+    """Users as leads, errors as failures: attempts and outcome after every event."""
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    got = _streamed(spark, rows, lambda k, s: k.retried(s, "user_id", "ok", "at", life=400 * k.DAY))
+    return got.select("user_id", F.col("at").cast("timestamp_ntz").alias("seen_at"), "attempts", "status")
+
+
+@query("""WITH w AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS due, max(l_shipdate)::TIMESTAMP AS done FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+m AS (SELECT max(greatest(due, CASE WHEN o_orderkey % 3 > 0 THEN done END)) - INTERVAL 1 HOUR AS mark FROM w)
+SELECT o_orderkey, due, CASE WHEN o_orderkey % 3 = 0 THEN 'missed' WHEN done <= due + INTERVAL 60 DAY THEN 'done' ELSE 'late' END AS status
+FROM w, m WHERE o_orderkey % 3 > 0 OR due + INTERVAL 60 DAY <= mark""")
+def missed_orders(spark, d):
+    """Orders as work that is due, shipping as work done; a third is never done."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("timestamp").alias("done"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("due")).join(lines, "o_orderkey")
+    none = F.lit(None).cast("timestamp")
+    rows = o.select("o_orderkey", "due", none.alias("done"), F.col("due").alias("at")).union(o.filter("o_orderkey % 3 > 0").select("o_orderkey", none, "done", F.col("done")))
+    got = _streamed(spark, rows, lambda k, s: k.missed(s, ["o_orderkey"], "due", "done", "at", grace=60 * k.DAY))
+    return got.select("o_orderkey", F.col("due").cast("timestamp_ntz").alias("due"), "status")
+
+
 @query("""WITH c AS (SELECT p_brand, p_name, min(p_partkey) AS item FROM part WHERE p_size > 25 GROUP BY 1, 2)
 SELECT p.p_partkey AS id, CASE WHEN p.p_size > 45 THEN p.p_partkey ELSE c.item END AS item FROM part p LEFT JOIN c USING (p_brand, p_name) WHERE p.p_size > 45 OR c.item IS NOT NULL""")
 def catalog_matches(spark, d):
