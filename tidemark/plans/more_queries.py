@@ -264,6 +264,50 @@ def missed_orders(spark, d):
     return got.select("o_orderkey", F.col("due").cast("timestamp_ntz").alias("due"), "status")
 
 
+@query("""WITH l AS (SELECT o_orderkey AS k, o_orderdate::DATE AS day, o_orderdate::TIMESTAMP AS at FROM orders WHERE o_orderkey % 5 > 0),
+s AS (SELECT l_orderkey AS k, l_shipdate::DATE AS now, min(l_shipdate)::TIMESTAMP AS at FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY 1, 2)
+SELECT coalesce(l.k, s.k) AS o_orderkey, day, now, coalesce(s.at, l.at)::DATE AS told,
+  CASE WHEN s.k IS NULL THEN 'lost' WHEN l.k IS NULL THEN 'new' WHEN day = now THEN 'same' ELSE 'moved' END AS status
+FROM l FULL JOIN s ON l.k = s.k AND s.at >= l.at AND s.at <= l.at + INTERVAL 60 DAY""")
+def moved_orders(spark, d):
+    """Orders as listed, their shipments as seen within 60 days: moved, lost and new ones."""
+    import uuid
+
+    from ..streaming import state
+    from .storage import shared_dir
+
+    out = f"{shared_dir(spark)}/tidemark/moved-{uuid.uuid4().hex}"
+    far = spark.createDataFrame([(None, None, "2100-01-01")], "k long, day date, at string").withColumn("at", F.col("at").cast("timestamp"))  # both streams go on after the last row
+    listed = table(spark, d, "orders").filter("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("k"), day("o_orderdate").alias("day"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    seen = table(spark, d, "lineitem").filter("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("k"), day("l_shipdate").alias("day"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    for name, rows in (("listed", listed), ("seen", seen)):
+        rows.union(far).write.parquet(f"{out}/{name}")
+    a, b = (spark.readStream.schema(far.schema).parquet(f"{out}/{x}") for x in ("listed", "seen"))
+    got = state.moved_and_lost(a, b, "k", "day", "at", within="60 days")
+    got.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(got.schema).parquet(f"{out}/rows").filter("k IS NOT NULL")
+    return rows.select(F.col("k").alias("o_orderkey"), "day", "now", F.to_date("at").alias("told"), "status")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'second' ELSE 'first' END AS run, p_name FROM part WHERE p_size > 25 OR p_partkey % 2 = 0""")
+def committed_parts(spark, d):
+    """Two runs that rewrite a table and its log in one commit each, the second from what it reads anew."""
+    import uuid
+
+    from ..streaming import commits
+    from .storage import shared_dir
+
+    folder = f"{shared_dir(spark)}/tidemark/commits-{uuid.uuid4().hex}"
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    first = p.filter("p_partkey % 2 = 0").select("p_partkey", F.lit("first").alias("run"), "p_name")
+    second = p.filter("p_size > 25").select("p_partkey", F.lit("second").alias("run"), "p_name")
+    for rows in (first, second):
+        over = lambda now, rows=rows: rows if now is None else now.join(rows, "p_partkey", "left_anti").unionByName(rows)
+        note = lambda now, rows=rows: rows.groupBy("run").count() if now is None else now.unionByName(rows.groupBy("run").count())
+        commits.commit(spark, folder, {"parts": over, "log": note})
+    return commits.read(spark, folder, "parts")
+
+
 @query("""WITH c AS (SELECT p_brand, p_name, min(p_partkey) AS item FROM part WHERE p_size > 25 GROUP BY 1, 2)
 SELECT p.p_partkey AS id, CASE WHEN p.p_size > 45 THEN p.p_partkey ELSE c.item END AS item FROM part p LEFT JOIN c USING (p_brand, p_name) WHERE p.p_size > 45 OR c.item IS NOT NULL""")
 def catalog_matches(spark, d):

@@ -82,3 +82,20 @@ def upsert_each_batch(stream: DataFrame, path: str, keys: list[str], order: str,
         one_per(batch, keys, [F.desc(order)]).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def moved_and_lost(listed: DataFrame, seen: DataFrame, key: str, day: str, at: str, within: str = "7 days", late: str = "1 day") -> DataFrame:
+    """(key, day, now, at, status): what became of each listed row, and what was seen that isn't listed.
+
+    ``listed`` and ``seen`` are streams of key, day and the time ``at`` of the row.
+    A listed row that is seen within the time after it is the same, or moved
+    where its day is another one then; each different day counts once. One that
+    isn't is lost, told once the watermark is past its time. Rows seen that no
+    listed row waits for are new. Rows later than ``late`` behind the newest of
+    their stream are left out; null keys meet nothing.
+    """
+    a = listed.select(F.col(key).alias("_a"), F.col(day).alias("day"), F.col(at).alias("_at")).withWatermark("_at", late)
+    once = seen.select(F.col(key).alias("_b"), F.col(day).alias("now"), F.col(at).alias("_seen")).withWatermark("_seen", late).dropDuplicatesWithinWatermark(["_b", "now"])
+    met = (F.col("_a") == F.col("_b")) & (F.col("_seen") >= F.col("_at")) & (F.col("_seen") <= F.col("_at") + F.expr(f"INTERVAL {within}"))
+    status = F.when(F.col("_seen").isNull(), "lost").when(F.col("_at").isNull(), "new").when(F.col("day").eqNullSafe(F.col("now")), "same").otherwise("moved")
+    return a.join(once, met, "full_outer").select(F.coalesce("_a", "_b").alias(key), "day", "now", F.coalesce("_seen", "_at").alias(at), status.alias("status"))
