@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, prices, urls
 from ..functions import text as t
+from ..functions.quotes import found_quote
 from ..plans.ranks import numbered
 from . import classify, sequences
 from .intervals import LONG_RUN_DAYS, in_window
@@ -135,15 +136,16 @@ def guides_for(topics: DataFrame, posts: DataFrame, n: int) -> DataFrame:
     return once.withColumn("place", place).filter(F.col("place") <= n).select("id", "post", "place")
 
 
-def reconcile(rows: DataFrame) -> DataFrame:
+def reconcile(rows: DataFrame, most_edits: int = 0) -> DataFrame:
     """Records held against their pages: status ok, corrected or hold, the record's new values, and why.
 
     rows: a record (id, name, start, time, venue, price_from) with what a reader
     found (page_name, page_day, page_time, page_venue, page_price, each with a
-    ..._quote) and page_text.
+    ..._quote) and page_text. A quote may be off the page's words by up to
+    ``most_edits`` characters.
     """
     c = F.col
-    on = lambda f: t.on_page(f"{f}_quote", "page_text")
+    on = lambda f: found_quote(f"{f}_quote", "page_text", most_edits).isNotNull() if most_edits else t.on_page(f"{f}_quote", "page_text")
     day_ok = on("page_day") & c("page_day").isNotNull() & dates.quote_has_day("page_day_quote", "page_day")
     time_ok = on("page_time") & F.array_contains(dates.times_in("page_time_quote"), c("page_time"))
     price_ok = on("page_price") & F.array_contains(prices.numbers_in("page_price_quote"), c("page_price"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, games, prices, text, urls
+from ..functions import dates, games, prices, quotes, text, urls
 from ..operators import classify, facets, intervals, listing, merging, predicates, reports
 from ..sources import files, pages, records, sinks
 from .queries import RUNS, day, lit_day, order_runs, query
@@ -121,6 +121,19 @@ def quotes_on_page(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.on_page("text", page).alias("found"))
 
 
+_SAID = r"""trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[’''`"“”«»]', '', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(rf"""WITH q AS (SELECT doc_id, text, substr(text, 101, 20) || substr(text, 122, 19) || 'x' || substr(text, 141, 20) AS quote FROM documents WHERE length(text) >= 200)
+SELECT doc_id, true AS found FROM q WHERE length({_SAID.format('quote')}) > 0""")
+def quotes_with_edits(spark, d):
+    """Quotes of every document, a character left out and one put in: all stand on their pages within four edits, as blanks may fold."""
+    docs = table(spark, d, "documents").filter(F.length("text") >= 200)
+    part = lambda a, n: F.substring("text", a, n)
+    got = docs.select("doc_id", quotes.found_quote(F.concat(part(101, 20), part(122, 19), F.lit("x"), part(141, 20)), F.col("text"), 4).alias("x"))
+    return got.select("doc_id", F.col("x").isNotNull().alias("found"))
+
+
 @query("""SELECT p_partkey, array_to_string(list_filter(['bright', 'symphony', string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]], lambda w: w <> CASE WHEN p_partkey % 2 = 0 THEN 'symphony' ELSE '' END), ' ') AS words FROM part""")
 def telling_name_words(spark, d):
     name = F.concat(F.lit("The Bright Sinfonia of 2026 no Porto: "), "p_name")
