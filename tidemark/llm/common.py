@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import by_value
-from ..plans.storage import materialize, released, shared_dir, table
+from ..plans.storage import drop_tables, materialize, noted, released, shared_dir, table
 
-__all__ = ["by_value", "fresh", "let", "materialize", "released", "running", "shared_dir", "small_batches", "table", "utf8"]
+__all__ = ["by_value", "drop_tables", "fresh", "let", "materialize", "noted", "released", "running", "shared_dir", "small_batches", "table", "utf8"]
 
 #: Bytes of a batch that Spark hands to Python, where the session doesn't say.
 BATCH = "4m"

@@ -11,14 +11,13 @@ scored by words learned from labelled documents and by a few numbers of style.
 from __future__ import annotations
 
 import math
-import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import by_value, materialize, small_batches
 
@@ -35,8 +34,6 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x
 CLASSES = len(ALPHABET) + 1
 #: Labelled documents to learn from, at most (by a hash of their id).
 MAX_LABELLED = 100_000
-#: Readings of one span that haven't met within so many characters are settled by what is likeliest so far.
-SETTLE = 1024
 #: Characters that are counted at once.
 COUNTED = 1 << 18
 #: A task holds the pieces of texts up to about so many before it hands them on.
@@ -139,34 +136,34 @@ class CharModel:
     def decode(self, span: str) -> str:
         """The likeliest reading of an obfuscated span (lower case), its words separated by blanks."""
         code, cost, n = self.code, self.cost, CLASSES
-        done: list[str] = []
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A state's reading is a chain (reading before, character), so what readings share is held once, however long the span.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         last = before = ""
-        for at, x in enumerate(span):
+        for x in span:
             ways = self._ways(x, last, before)
             last, before = x, last
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (c, out) in states.items():
                 for y, w in ways:
                     if y:
                         k = code.get(y, 0)
-                        state, total, text = (b, k), c + w + cost[(a * n + b) * n + k], out + y
-                    else:
-                        state, total, text = (a, b), c + w, out
-                    if state not in new or total < new[state][0]:
-                        new[state] = (total, text)
+                        state, total = (b, k), c + w + cost[(a * n + b) * n + k]
+                        if state not in new or total < new[state][0]:
+                            new[state] = (total, (out, y))
+                    elif (a, b) not in new or c + w < new[a, b][0]:
+                        new[a, b] = (c + w, out)
             states = new
-            if len(states) == 1 or at % 256 == 255:
-                # What all readings share is settled, so that a span of any length takes time in its length only.
-                same = os.path.commonprefix([out for _, out in states.values()])
-                states = {s: (c, out[len(same) :]) for s, (c, out) in states.items()}
-                done.append(same)
-                if max(len(out) for _, out in states.values()) > SETTLE:
-                    s, (c, out) = min(states.items(), key=lambda kv: kv[1][0])
-                    states = {s: (c, "")}
-                    done.append(out)
-        done.append(min((c + cost[(a * n + b) * n], out) for (a, b), (c, out) in states.items())[1])
-        return " ".join("".join(done).split())
+        ends = [(c + cost[(a * n + b) * n], out) for (a, b), (c, out) in states.items()]
+        least = min(c for c, _ in ends)
+        return " ".join(min(self._reading(out) for c, out in ends if c == least).split())
+
+    @staticmethod
+    def _reading(out: tuple | None) -> str:
+        chars = []
+        while out:
+            out, y = out
+            chars.append(y)
+        return "".join(reversed(chars))
 
 
 class Restorer:
@@ -382,19 +379,19 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # CLASSES ** 3 counts, and words of a bounded sample
-    docs = docs.drop("score")
-    at, names = docs.columns.index(text), [*docs.columns, "score"]
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         restorer, words, weights = Restorer(CharModel(m["grams"])), m["words"], m["weights"]
-        for batch in batches:
+        for batch in texts:
             out = []
-            for t in batch.column(at).to_pylist():
-                pieces, style = _look_at(t, restorer)
+            for t in batch:
+                pieces, style = _look_at(t.as_py(), restorer)
                 odds = sorted(words[w] for w in pieces & words.keys())
                 x = _features(odds[-1] if odds else 0.0, math.fsum(odds), len(odds), style)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, math.fsum(a * b for a, b in zip(weights, x, strict=True)))))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=names)
+            yield pa.array(out, pa.float64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    # Texts go to Python and scores come back; the rows wait in Spark.
+    return docs.drop("score").withColumn("score", scores(F.col(text)))
