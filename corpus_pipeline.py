@@ -8,19 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, packing, simhash
-from tidemark.llm.common import fresh, materialize, released, table
+from tidemark.llm.common import drop_tables, fresh, materialize, noted, table
 from tidemark.llm.queries import tokenizer_path, toxic_scores
 
 
+#: Intermediate tables of the stage called last, by application.
+_scratch: dict[str, list[str]] = {}
+
+
 def keeping(*names: str):
-    """A stage whose operator adds columns of these names: the documents' own columns so named stand aside meanwhile."""
+    """A stage whose operator adds columns of these names: the documents' own columns so named stand aside meanwhile.
+
+    A stage's result reads its intermediate tables until it is written. When the
+    next stage is called on documents that don't read them, which is to say on
+    the written result, they go.
+    """
 
     def wrap(stage):
         @wraps(stage)
         def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            app, read = spark.sparkContext.applicationId, docs.inputFiles()
+            old = _scratch.pop(app, [])
+            done = [p for p in old if not any(p.split(":", 1)[-1].lstrip("/") in f for f in read)]
+            if len(done) == len(old):
+                drop_tables(spark, done)
             aside = {c: f"_own_{c}" for c in docs.columns if c in names}
-            out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
-            return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+            with noted() as own:
+                out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+            _scratch[app] = own if len(done) == len(old) else [*old, *own]
+            return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*(docs.columns if names else out.columns))
 
         return run_stage
 
@@ -44,11 +60,12 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*docs.columns)
 
 
+@keeping()
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document of the least id stays.
 
-    Repeated rows of one id and text are one document. Of a group without any id
-    one document stays.
+    Rows of one id and text are one document, of which the row stays whose other
+    columns come first as JSON. Of a group without any id one document stays.
     """
     found = simhash.near_copies(docs.select("doc_id", "text"))
     head_id, head_hash, row_hash = fresh(docs.columns, "_head_id", "_head_hash", "_row_hash")
@@ -56,7 +73,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     heads = found.groupBy("root").agg(first).select(F.col("first.id").alias(head_id), F.col("first.hash").alias(head_hash))
     rows = docs.withColumn(row_hash, F.xxhash64("text"))
     kept = rows.join(heads, F.col("doc_id").eqNullSafe(F.col(head_id)) & (F.col(row_hash) == F.col(head_hash)), "left_semi")
-    return kept.dropDuplicates(["doc_id", row_hash]).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    (whole,) = fresh(docs.columns, "_whole")
+    first = F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*others)) if others else F.lit(0)).alias(whole)
+    return kept.groupBy("doc_id", row_hash).agg(first).select(f"{whole}.*")
 
 
 @keeping("size", "source_size", "target", "copies")
@@ -68,6 +88,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
+@keeping()
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, ids included, with their places in sequences of 1024 tokens."""
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path(), keep_ids=True)
@@ -86,10 +107,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; a stage's intermediate tables go when its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; a stage's intermediate tables go when the next one begins, its result when the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        with released(spark):
-            out = stage(spark, docs, sf_dir)
-            docs = materialize(out, f"pipeline-{k}", keep=True)
+        out = stage(spark, docs, sf_dir)
+        with noted() as written:
+            docs = materialize(out, f"pipeline-{k}")
+        drop_tables(spark, last)
+        last = written
     return STAGES[-1][1](spark, docs, sf_dir)
