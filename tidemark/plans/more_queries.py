@@ -130,13 +130,6 @@ def content_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", files.blob_id(F.encode("text", "UTF-8")).alias("id"))
 
 
-@query("""SELECT week, step FROM (SELECT unnest(['w1', 'w2']) AS week), (SELECT unnest(['a', 'b', 'c']) AS step) EXCEPT SELECT * FROM (VALUES ('w1', 'a'), ('w1', 'b'), ('w2', 'c'))""")
-def ledger_claims(spark, d):
-    led = files.ledger(spark.createDataFrame([('{"w1": {"a": "t", "b": "t"}, "w2": {"c": "t"}}',)], "t string"), "t")
-    wanted = spark.createDataFrame([(w, s) for w in ("w1", "w2") for s in "abc"], "week string, step string")
-    return merging.claim(led, wanted)
-
-
 @query("""SELECT user_id, CASE WHEN list_position(g[1:5], 'purchase') > 0 THEN 'won' WHEN len(g) >= 5 THEN 'lost' ELSE 'playing' END AS status,
   (CASE WHEN list_position(g[1:5], 'purchase') > 0 THEN list_position(g[1:5], 'purchase') - 1 ELSE least(len(g), 5) END)::INT AS misses
 FROM (SELECT user_id, list(event_type ORDER BY ts, event_id) AS g FROM events GROUP BY 1)""")

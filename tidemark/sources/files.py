@@ -35,10 +35,23 @@ def wrapped(spark: SparkSession, path: str, field: str, schema: str) -> DataFram
     return spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.inline(field))
 
 
+def with_body_files(posts: DataFrame, folder: str, slug: str, pattern: str) -> DataFrame:
+    """The posts of an index that have a body file under a folder (S06); ``pattern`` finds the slug in a file's path. No body is read."""
+    names = posts.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", pattern, 1).alias(slug))
+    return posts.join(names.distinct(), slug, "left_semi")
+
+
+def json_slice(text: Column) -> Column:
+    """From the first opening brace to the last closing one; null without both."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found)
+
+
 def parsed_or_null(text: Column, schema: str, required: str) -> Column:
-    """A JSON text by schema; null where it isn't one or lacks the required field."""
-    got = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    return F.when(got[required].isNotNull(), got)
+    """A JSON text by schema; null where it isn't one whole object or lacks the required field."""
+    # As the one element of a list, since an object by itself counts as whole whatever follows it.
+    got = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+    return F.when((F.size(got) == 1) & F.get(got, F.lit(0))[required].isNotNull(), F.get(got, F.lit(0)))
 
 
 def ledger(df: DataFrame, text: str) -> DataFrame:
