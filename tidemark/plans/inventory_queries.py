@@ -134,6 +134,16 @@ def quotes_with_edits(spark, d):
     return got.select("doc_id", F.col("x").isNotNull().alias("found"))
 
 
+@query("""SELECT doc_id, true AS same FROM documents""")
+def kinds_by_automaton(spark, d):
+    """Kinds of whole documents by one automaton of all signs, held against the cascade of patterns."""
+    docs = table(spark, d, "documents")
+    name, category = F.left("text", F.lit(60)), F.element_at(F.array(*map(F.lit, ("music", "nightlife", "other", "family", "sports"))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    none = F.lit("")
+    signs = docs.select("doc_id", "text", category.alias("category"), classify.signs_in(name, F.col("text"), none).alias("s"))
+    return signs.select("doc_id", (classify.subcategory_by_signs(F.col("s"), F.col("category")) == classify.subcategory(name, F.col("text"), none, F.col("category"))).alias("same"))
+
+
 @query("""SELECT p_partkey, array_to_string(list_filter(['bright', 'symphony', string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]], lambda w: w <> CASE WHEN p_partkey % 2 = 0 THEN 'symphony' ELSE '' END), ' ') AS words FROM part""")
 def telling_name_words(spark, d):
     name = F.concat(F.lit("The Bright Sinfonia of 2026 no Porto: "), "p_name")
