@@ -301,6 +301,47 @@ def committed_parts(spark, d):
     return commits.read(spark, folder, "parts")
 
 
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'corrected' WHEN 2 THEN 'hold' WHEN 3 THEN 'corrected' ELSE 'hold' END AS status,
+  CASE p_partkey % 5 WHEN 1 THEN 'time 20:00 to 21:30' WHEN 3 THEN 'price 1.0 to ' || (10 + p_size)::DOUBLE ELSE '' END AS corrections FROM part""")
+def reconciled_records(spark, d):
+    """Records held against what their pages say, field by field: right, corrected, or held back."""
+    k, at = F.col("p_partkey") % 5, F.date_add(F.lit("1998-06-01").cast("date"), F.col("p_size").cast("int"))
+    said = lambda c: F.date_format(c, "d MMMM yyyy")
+    cost = F.concat((F.col("p_size") + 10).cast("string"), F.lit(" euros"))
+    page = F.concat(F.lit("Concert: "), "p_name", F.lit(". On "), said(at), F.lit(", at 21:30. "), "p_brand", F.lit(". Tickets "), cost, F.lit("."))
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), at.alias("start"), F.when(k == 1, "20:00").otherwise("21:30").alias("time"), F.col("p_brand").alias("venue"),
+        F.when(k == 3, 1.0).otherwise(F.col("p_size") + 10.0).alias("price_from"), F.col("p_name").alias("page_name"), F.col("p_name").alias("page_name_quote"),
+        F.when(k == 4, F.date_add(at, 1)).otherwise(at).alias("page_day"), said(F.when(k == 4, F.date_add(at, 1)).otherwise(at)).alias("page_day_quote"), F.lit("21:30").alias("page_time"), F.lit("at 21:30").alias("page_time_quote"),
+        F.col("p_brand").alias("page_venue"), F.when(k == 2, "Elsewhere Hall").otherwise(F.col("p_brand")).alias("page_venue_quote"), (F.col("p_size") + 10.0).alias("page_price"), cost.alias("page_price_quote"), page.alias("page_text"),
+    )
+    return listing.reconcile(rows).select("id", "status", F.when(F.col("status") == "corrected", F.array_join("corrections", "; ")).otherwise("").alias("corrections"))
+
+
+@query("""SELECT p_partkey AS a, p_partkey + 10000000 AS b FROM part WHERE p_partkey % 3 > 0 AND p_partkey % 4 > 0""")
+def rescheduled_pairs(spark, d):
+    """Listings and their copies of another day, marked as moved, at one page and venue."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    day_of = lambda n: F.date_add(F.lit("1998-06-01").cast("date"), (F.col("p_size") + n).cast("int")).cast("string")
+    link = F.concat(F.lit("https://x.pt/event/"), k.cast("string"))
+    first = p.select(k.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("venue"), day_of(0).alias("start"), F.lit(None).cast("string").alias("end"), link.alias("link"))
+    moved = F.when(k % 4 > 0, F.concat(F.lit("ADIADO: "), "p_name")).otherwise(F.col("p_name"))
+    copy = p.select((k + 10_000_000).alias("id"), moved, "p_brand", day_of(F.when(k % 3 > 0, 10).otherwise(0)), F.lit(None).cast("string"), link)
+    ready = matching.prepared(first.union(copy))
+    return matching.pairs(ready, ready, [matching.rescheduled()]).select("a", "b")
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS w, unnest(['https://b.pt/' || string_split(p_name, ' ')[1], 'https://a.pt/' || replace(p_name, ' ', '-'), 'https://c.pt/none']) AS url FROM part),
+s AS (SELECT id, url, len(list_filter(w, lambda x: len(x) > 2 AND contains(lower(regexp_extract(url, '^https://[^/]+(/.*)$', 1)), x))) AS hits FROM c)
+SELECT id, url, (hits + CASE WHEN url LIKE 'https://a.pt/%' THEN 10 ELSE 0 END)::INT AS score FROM s WHERE hits > 0""")
+def scored_sources(spark, d):
+    """Search rows scored by a name's words in their paths, a site's own first, three a candidate."""
+    word = F.element_at(F.split("p_name", " "), 1)
+    found = F.array(F.concat(F.lit("https://b.pt/"), word), F.concat(F.lit("https://a.pt/"), F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit("https://c.pt/none"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("https://a.pt/x").alias("url"), found.alias("sources"))
+    return listing.score_links(rows)
+
+
 @query("""WITH c AS (SELECT p_brand, p_name, min(p_partkey) AS item FROM part WHERE p_size > 25 GROUP BY 1, 2)
 SELECT p.p_partkey AS id, CASE WHEN p.p_size > 45 THEN p.p_partkey ELSE c.item END AS item FROM part p LEFT JOIN c USING (p_brand, p_name) WHERE p.p_size > 45 OR c.item IS NOT NULL""")
 def catalog_matches(spark, d):
