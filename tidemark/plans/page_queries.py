@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, snippets
 from ..operators import matching, predicates, scan
+from ..sources import pages
 from .queries import day, lit_day, query
 from .storage import table
 
@@ -221,3 +222,43 @@ def edition_paths(spark, d):
     k = F.col("c_custkey")
     path = scan.edition_path(F.when(k % 5 == 0, "legacy").when(k % 3 == 0, "compose"), F.lit(True), F.col("n"), F.when(k % 2 == 0, 9).otherwise(0), F.col("n"), 10, 5)
     return c.select("c_custkey", path.alias("path"))
+
+
+#: Parts as events of listing pages, at most fifty a page, every seventh page without any.
+_LISTED = """e AS (SELECT p_partkey AS id, p_partkey // 50 AS page, p_name AS name, p_brand AS venue, strftime(DATE '2026-01-01' + p_size::INT, '%Y-%m-%d') AS day, p_size AS price FROM part WHERE (p_partkey // 50) % 7 > 0)"""
+
+
+def _listing_pages(spark, d):
+    """(page, events) of parts as events, in order."""
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size").cast("int")), "yyyy-MM-dd")
+    e = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 50).alias("page"), F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("venue"), day.alias("day"), F.col("p_size").alias("price")).alias("e"))
+    return e.groupBy("page").agg(F.array_sort(F.collect_list("e")).alias("events"))
+
+
+def _page(*scripts):
+    return F.concat(F.lit("<html><head><title>Agenda</title><script>var x = 1;</script>"), *scripts, F.lit("</head><body><p>Agenda</p></body></html>"))
+
+
+@query(f"""WITH {_LISTED} SELECT page, name, day || 'T21:00' AS "start", venue, 'Porto' AS city, price::VARCHAR AS price FROM e""")
+def linked_data_listings(spark, d):
+    """Events of listing pages' linked data, nested in lists and graphs among other things, one broken script a page."""
+    as_event = lambda x: F.struct(
+        F.array(F.lit("Thing"), F.lit("MusicEvent")).alias("@type"), x["name"].alias("name"), F.concat(x["day"], F.lit("T21:00")).alias("startDate"),
+        F.struct(F.lit("Place").alias("@type"), x["venue"].alias("name"), F.struct(F.lit("Porto").alias("addressLocality")).alias("address")).alias("location"),
+        F.array(F.struct(F.lit("Offer").alias("@type"), x["price"].alias("price"))).alias("offers"),
+    )
+    graph = F.to_json(F.struct(F.struct(F.lit("WebPage").alias("@type"), F.struct(F.transform("events", as_event).alias("itemListElement")).alias("mainEntity")).alias("@graph")))
+    script = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit("</script>"))
+    html = _page(script(F.lit('{"@type": "Event", "name": ')), F.when(F.col("page") % 7 > 0, script(graph)).otherwise(""))
+    return pages.linked_events(_listing_pages(spark, d).select("page", html.alias("html")), "page", "html").select("page", "name", "start", "venue", "city", "price")
+
+
+@query(f"""WITH {_LISTED} SELECT page, id, name, venue, day FROM e WHERE id % 3 > 0""")
+def page_state_listings(spark, d):
+    """Events of the state that pages carry in a script, in sections."""
+    sections = F.array(F.struct(F.filter("events", lambda x: x["id"] % 3 == 1).alias("events")), F.struct(F.filter("events", lambda x: x["id"] % 3 == 2).alias("events")))
+    state = F.to_json(F.struct(F.struct(F.struct(sections.alias("sections")).alias("profile")).alias("props")))
+    html = _page(F.when(F.col("page") % 7 > 0, F.concat(F.lit('<script id="__STATE__" type="application/json">'), state, F.lit("</script>"))).otherwise(F.lit('<script id="other">{}</script>')))
+    kind = "props struct<profile struct<sections array<struct<events array<struct<id bigint, name string, venue string, day string>>>>>>"
+    got = _listing_pages(spark, d).select("page", pages.page_state(html, "__STATE__", kind).alias("s"))
+    return got.select("page", F.explode("s.props.profile.sections").alias("section")).select("page", F.inline("section.events"))

@@ -112,3 +112,9 @@ def linked_events(df: DataFrame, key: str, html: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, html).mapInPandas(rows, f"{key} {kind}, name string, start string, end string, venue string, city string, price string, description string")
+
+
+def page_state(html: Column, script_id: str, schema: str) -> Column:
+    """The state that a page carries as JSON in a script of some id, by schema; null where it has none or it is no JSON."""
+    text = F.regexp_extract(html, rf"(?is)<script[^>]+id=[\"']{script_id}[\"'][^>]*>(.*?)</script>", 1)
+    return F.when(text != "", F.from_json(text, schema, {"mode": "PERMISSIVE"}))
