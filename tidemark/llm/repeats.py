@@ -40,7 +40,7 @@ by_value(__name__)
 WINDOW = 50
 ANCHOR = 12
 #: Bytes of text in a block, about; bytes looked at together; segment bytes sorted together.
-BLOCK, CHUNK, SORTED = 8 << 20, 1 << 19, 2 << 20
+BLOCK, CHUNK, SORTED = 8 << 20, 1 << 19, 1 << 18
 #: No byte of UTF-8 has this value: it stands for "no symbol before".
 NONE = 255
 #: Bits of a place in a chunk; the other bits of 64 are the hash that orders anchors.
