@@ -132,3 +132,7 @@ def test_small_forms(value):
     words = lambda n: text.name_tokens(F.lit(n), stop=text.SCAN_STOP_WORDS, folded={})
     similar = lambda a, b: value(text.similar_tokens(words(a), words(b), text.kebab(F.lit(a)), text.kebab(F.lit(b))))
     assert similar("Blue Moon", "Blue Moon Rising High") and not similar("Blue", "Blue Moon") and similar("Live", "live") and not similar("Live", "Tour")
+
+
+def test_kickoff_within_the_slots_second_is_none_of_it(value):
+    assert value(dates.kickoff(F.lit("2026-07-01 11:00:00.5"))) == "2026-07-01T12:00" and value(dates.kickoff(F.lit("2026-07-01 11:00:00.000"))) is None
