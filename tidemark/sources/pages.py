@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,9 @@ def page_record(html: Column) -> Column:
     return F.when(F.length(t) > LEAST, F.struct(t.alias("text"), F.lit(None).cast("string").alias("reason"))).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.concat(F.lit("too little text ("), F.length(t).cast("string"), F.lit(")")).alias("reason")))
 
 
-def title_of(html: Column) -> Column:
-    return F.trim(decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+def title_of(html: Column, decode: Callable[[Column], Column] = decode_entities) -> Column:
+    """The title element's text. ``decode``: which entities are read as characters."""
+    return F.trim(decode(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def heading_text(html: Column) -> Column:
