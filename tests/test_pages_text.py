@@ -82,3 +82,15 @@ def test_glosses_that_say_nothing_new_go(spark):
     events = spark.createDataFrame([(1, "Noite", "s1", None), (2, "Night", "s2", "night"), (3, "Dia", None, None)], "id long, name string, slug string, name_en string")
     corpus = spark.createDataFrame([("s1", "x", "Night"), (None, "DIA", "Day")], "slug string, name string, name_en string")
     assert {(r["id"], r["gloss"]) for r in scan.glosses(events, corpus).collect()} == {(1, "Night"), (3, "Day")}
+
+
+def test_events_of_one_start_and_name_go_by_ties(spark):
+    rows = [(k, "A", "Same", date(2026, 6, 3), date(2026, 6, 3 + (k * 7) % 20), "Free") for k in range(20)]
+    events = spark.createDataFrame(rows, "k int, venue string, name string, start date, end date, price string").repartition(7, "end")
+    for k, ties in ((0, ("k",)), (0, ("end",))):
+        first = rows[k][4]
+        got = snippets.venue_answers(events, F.lit(date(2026, 6, 1)), ties=ties).first()
+        assert got["next_dates"] == f"{first.day} June 2026"
+    second = rows[1][4]
+    got = snippets.venue_summaries(events, F.lit(date(2026, 6, 1)), ties=("k",)).first()["summary"]
+    assert f"Same (3 Jun) and Same (3–{second.day} Jun)" in got

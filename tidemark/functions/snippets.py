@@ -109,16 +109,16 @@ def _fitted(first: Column, *more: Column, most: int = DESCRIPTION) -> Column:
     return out
 
 
-def venue_summaries(events: DataFrame, today: Column, lang: str = "en") -> DataFrame:
+def venue_summaries(events: DataFrame, today: Column, lang: str = "en", ties: tuple[str, ...] = ("end",)) -> DataFrame:
     """(venue, upcoming, title, summary): what is next at each venue, runs already open last; else the last event there (P10).
 
     events: venue, name, start, end (dates). Only two rows of a venue are looked
-    at for the text; ties go by name.
+    at for the text; ties go by name, then by the columns ``ties``.
     """
     last = F.coalesce("end", "start")
-    rows = events.select("venue", "name", "start", "end", (last >= today).alias("ahead"), (F.col("start") < today).alias("open"))
+    rows = events.select(*dict.fromkeys(("venue", "name", "start", "end", *ties)), (last >= today).alias("ahead"), (F.col("start") < today).alias("open"))
     key = lambda c: F.when(F.col("ahead"), c)
-    order = [F.when(F.col("ahead"), 0).otherwise(1), key(F.col("open")), key(F.col("start")), F.desc("start"), "name"]
+    order = [F.when(F.col("ahead"), 0).otherwise(1), key(F.col("open")), key(F.col("start")), F.desc("start"), "name", *ties]
     n = F.row_number().over(Window.partitionBy("venue").orderBy(*order))
     first = rows.withColumn("n", n).filter("n <= 2")
     counts = rows.groupBy("venue").agg(F.count_if("ahead").alias("upcoming"))
@@ -142,15 +142,16 @@ def venue_summaries(events: DataFrame, today: Column, lang: str = "en") -> DataF
     return got.select("venue", "upcoming", t.clip(title, TITLE + 8).alias("title"), t.clip(F.when(F.col("upcoming") > 0, ahead).otherwise(past), DESCRIPTION).alias("summary"))
 
 
-def venue_answers(events: DataFrame, today: Column) -> DataFrame:
+def venue_answers(events: DataFrame, today: Column, ties: tuple[str, ...] = ("end",)) -> DataFrame:
     """(venue, upcoming, free, next, next_dates, free_names, answer): what a venue's questions are answered from.
 
     events: venue, name, start, end, price. ``answer`` tells whether its events
-    are free; ``free_names`` are the first three of them.
+    are free; ``free_names`` are the first three of them. Events of one start
+    and name go by the columns ``ties``.
     """
     e = events.filter(F.coalesce("end", "start") >= today).withColumns({"free": prices.is_free("price"), "open": F.col("start") < today})
     by = Window.partitionBy("venue")
-    e = e.withColumns({"n": F.row_number().over(by.orderBy("open", "start", "name")), "k": F.row_number().over(Window.partitionBy("venue", "free").orderBy("start", "name"))})
+    e = e.withColumns({"n": F.row_number().over(by.orderBy("open", "start", "name", *ties)), "k": F.row_number().over(Window.partitionBy("venue", "free").orderBy("start", "name", *ties))})
     running = F.col("open") & F.col("end").isNotNull()
     when = F.when(running, _cat("on now, until ", long_dates("end", "end"))).otherwise(long_dates("start", "end"))
     got = e.groupBy("venue").agg(
