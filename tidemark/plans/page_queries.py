@@ -66,7 +66,7 @@ SELECT venue, upcoming, venue || ': What''s On & Upcoming Events in Porto' AS ti
   venue || ', Porto: next up ' || CASE WHEN upcoming > 1 AND length(l[1] || ' and ' || l[2]) <= 95 THEN l[1] || ' and ' || l[2] ELSE l[1] END || '. ' ||
   CASE WHEN upcoming = 1 THEN 'Date, price and tickets.' ELSE upcoming || ' upcoming events with dates, prices and tickets.' END AS summary FROM l""")
 def venue_snippets(spark, d):
-    return snippets.venue_summaries(_runs(spark, d), lit_day()).filter("upcoming > 0")
+    return snippets.venue_summaries(_runs(spark, d), lit_day(), ties=("p_partkey",)).filter("upcoming > 0")
 
 
 @query(f"""WITH {RUNS}, e AS (SELECT *, price = 'Free' AS free, "start" < DATE '1998-06-15' AS open FROM runs WHERE coalesce("end", "start") >= DATE '1998-06-15'),
