@@ -73,3 +73,15 @@ def test_drawn_choices(spark):
     got = spark.range(1, 4).select(games.choices_for(F.col("id"), ids).alias("c")).collect()
     for n, r in enumerate(got, 1):
         assert r["c"] == games.choices(n, ids) and len(set(r["c"])) == 4 and f"p{n - 1}" in r["c"]
+
+
+def test_catalog_match_compares_sets_of_words_once(spark):
+    """As many names as there are, each in many copies: only different sets of words meet."""
+    d, names = date(2026, 10, 31), ["Candle Night", "Night Candle", "Candle Night Queen Songs", "Organ Hour", "Organ", "2026"]
+    events = spark.range(3000).select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 6 + 1).cast("int")).alias("name"), F.lit("v").alias("venue_slug"), F.lit(d).alias("day"), F.when(F.col("id") == 4, 7).alias("known"))
+    catalog = spark.range(3000).filter("id >= 6").select(F.col("id").alias("item"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 6 + 1).cast("int")).alias("name"), F.lit("v").alias("venue_slug"), F.array(F.lit(d)).alias("sessions"))
+    got = {r["id"]: r["item"] for r in listing.catalog_match(events, catalog, F.col("known")).collect()}
+    first = {0: 6, 1: 6, 2: 6, 3: 9, 4: 10}  # contained names meet too; no words, no match
+    assert got == {k: 7 if k == 4 else first[k % 6] for k in range(3000) if k % 6 < 5}
+    plan = listing.catalog_match(events, catalog, F.col("known"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "item_name" not in plan

@@ -72,12 +72,17 @@ def catalog_match(events: DataFrame, catalog: DataFrame, event_id: Column) -> Da
     """(id, item): the catalog item by id, else of the venue and session day with a matching name.
 
     events: id, name, venue_slug, day; catalog: item, name, venue_slug, sessions (dates).
+    Only sets of words are compared, once for each venue and day and where they
+    share a word; of a set's items the least stands for all.
     """
     by_id = events.select("id", event_id.alias("item")).join(catalog.select("item"), "item").select("id", "item", F.lit(0).alias("n"))
-    sessions = catalog.select("item", F.col("name").alias("item_name"), "venue_slug", F.explode("sessions").alias("day")).distinct()
-    met = events.join(sessions, ["venue_slug", "day"])
-    match = t.compare_tokens(t.name_tokens("name", "venue_slug"), t.name_tokens("item_name", "venue_slug"))
-    by_name = met.filter(match.isNotNull()).select("id", "item", F.lit(1).alias("n"))
+    place, words = ["venue_slug", "day"], F.array_sort(t.name_tokens("name", "venue_slug"))
+    named = events.select("id", *place, words.alias("words"))
+    sessions = catalog.select("item", "venue_slug", F.explode("sessions").alias("day"), words.alias("item_words")).groupBy(*place, "item_words").agg(F.min("item").alias("item"))
+    asked = named.select(*place, "words").distinct().withColumn("word", F.explode("words"))
+    met = asked.join(sessions.withColumn("word", F.explode("item_words")), [*place, "word"]).filter(t.compare_tokens("words", "item_words").isNotNull())
+    found = met.groupBy(*place, "words").agg(F.min("item").alias("item"))
+    by_name = named.join(found, [*place, "words"]).select("id", "item", F.lit(1).alias("n"))
     return by_id.unionByName(by_name).groupBy("id").agg(F.min(F.struct("n", "item")).alias("m")).select("id", "m.item")
 
 
