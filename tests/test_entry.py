@@ -39,3 +39,12 @@ def test_values_beyond_the_small_tables(spark, tmp_path):
     for name in ("areas_and_postal_codes", "page_titles"):
         got = entry.queries()[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_costly_rows_of_small_files_go_to_all_tasks(spark):
+    """A file of few bytes is read by one task: rows that take long are dealt out first; a date text is read once."""
+    plan = lambda name: entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    for name in ("best_variant_match", "reconciled_records", "subcategories", "listed_date_ranges"):
+        assert "REPARTITION_BY_NUM" in plan(name), name
+    assert "keys=[said" in plan("listed_date_ranges")

@@ -9,7 +9,7 @@ from ..operators import classify, facets, intervals, listing, merging, predicate
 from ..sources import files, pages, records, sinks
 from .queries import RUNS, day, lit_day, order_runs, query
 from .ranks import numbered
-from .storage import table
+from .storage import spread, table
 
 # --- dates ---------------------------------------------------------------------------------------
 
@@ -167,7 +167,7 @@ def _name_pairs(spark, d):
     p = table(spark, d, "part")
     first = p.filter("p_partkey = 0").select(F.col("p_name").alias("other"))
     more = F.when(F.col("p_partkey") % 3 == 0, " opus").when(F.col("p_partkey") % 3 == 1, " opus encore suite").otherwise("")
-    both = p.join(F.broadcast(first))  # one row
+    both = spread(p, "p_partkey").join(F.broadcast(first))  # one row
     return both.select("p_partkey", F.concat("p_name", F.lit(" opus")).alias("x"), F.concat(F.col("other"), more).alias("y"))
 
 
@@ -654,7 +654,9 @@ def listed_date_ranges(spark, d):
         .when(F.col("o_orderkey") % 5 == 3, F.concat(said("start", "dd.MM.yyyy"), longer(" - ", said(last, "dd.MM.yyyy"), ""), F.lit(" sex, 21h30")))
         .otherwise(F.concat(said("start", "d MMM yyyy"), F.lit(" - "), said("end", "MMM yyyy")))
     )
-    return order_runs(spark, d).select("o_orderkey", records.listed_days(text, lit_day()).alias("x")).select("o_orderkey", "x.*")
+    said = order_runs(spark, d).select("o_orderkey", text.alias("said"))
+    read = spread(said.select("said").distinct(), "said").select("said", records.listed_days("said", lit_day()).alias("x"))  # a text is read once, however many cards bear it
+    return said.join(read, said["said"].eqNullSafe(read["said"])).select("o_orderkey", "x.*")
 
 
 @query("""SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL""")
