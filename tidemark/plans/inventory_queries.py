@@ -655,7 +655,7 @@ def listed_date_ranges(spark, d):
         .otherwise(F.concat(said("start", "d MMM yyyy"), F.lit(" - "), said("end", "MMM yyyy")))
     )
     said = order_runs(spark, d).select("o_orderkey", text.alias("said"))
-    read = spread(said.select("said").distinct(), "said").select("said", records.listed_days("said", lit_day()).alias("x"))  # a text is read once, however many cards bear it
+    read = spread(said.select("said").distinct()).select("said", records.listed_days("said", lit_day()).alias("x"))  # a text is read once, however many cards bear it
     return said.join(read, said["said"].eqNullSafe(read["said"])).select("o_orderkey", "x.*")
 
 
