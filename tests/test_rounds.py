@@ -143,3 +143,33 @@ def test_names_that_begin_alike_make_no_square(spark):
     left = spellings._shortened(texts, 2).groupBy("left").count()
     assert left.agg(F.max("count")).first()[0] < 100
     assert spellings.close_texts(texts, "t", 2).count() < 100
+
+
+def test_numbered_names_meet_once_and_are_not_gathered(spark):
+    """Names that differ by a number only: each pair is made once, by tasks as many as the rows ask for, so that none has to hold the pairs."""
+    names = [f"Supplier#{k:09d}" for k in range(260)]
+    want = {(a, b, d) for k, a in enumerate(names) for b in names[k + 1 :] if (d := edits(a, b)) <= 2}
+    df = spark.createDataFrame([(t,) for t in names], "t string")
+    got = spellings.close_texts(df, "t", 2, rows=4_000)
+    found = list(map(tuple, got.collect()))
+    assert len(found) == len(set(found))
+    assert set(found) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("AdaptiveSparkPlan isFinalPlan=false")[0]
+    assert "hashpartitioning(size#" in plan and ", 22), REPARTITION_BY_NUM" in plan  # 260 names of 18**2 rows at most
+    # What meets at the same places goes on to the result as it comes: of the two parts of the union, one has no aggregate over its join.
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    lines = plan.splitlines()
+    union = next(k for k, line in enumerate(lines) if line.strip(" :+-*()0123456789").startswith("Union"))
+    first = []
+    for line in lines[union + 1 :]:
+        if first and depth(line) <= depth(lines[union + 1]):
+            break
+        first.append(line)
+    over = first[: next(k for k, line in enumerate(first) if "Join" in line)]
+    assert not any("Aggregate" in line for line in over)
+
+
+def test_close_names_by_the_smallest_key_of_each(spark):
+    rows = [(9, "north hall"), (4, "north hall"), (2, "north hal"), (7, "south"), (1, None), (5, "mouth")]
+    got = spellings.close_texts(spark.createDataFrame(rows, "k long, t string"), "t", 2, key="k")
+    assert sorted(map(tuple, got.collect())) == [(2, 4, 1), (5, 7, edits("mouth", "south"))]
