@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,35 @@ def test_optional_end_tags_are_supplied():
         ("table/tr/td/#text", "a"), ("table/tr/td/#text", "b"), ("table/tr/td/#text", "c"), ("table/tr/td/table/tr/td/#text", "d"), ("table/tr/td/#text", "e"),
         ("dl/dt/#text", "x"), ("dl/dd/#text", "y"), ("dl/dt/#text", "z"), ("p/#text", "q"), ("div/#text", "r"), ("#text", "s"),
     ]
+
+
+def test_a_batch_of_pages_is_handed_on_in_lots():
+    """What a worker holds doesn't grow with the pages of a batch, nor with the length of a page or the number of different paths."""
+    import tracemalloc
+
+    names = ["page_id", "page", "node", "path", "value", "up"]
+    card = "<li><div><p><b>a{0}</b><i>x y</i></p><a href='/{0}'>t</a></div></li>"
+    pages = ["<html><body><main><ul>" + "".join(card.format(k) for k in range(20)) + "</ul></main>"] * 1000 + ["<ul>" + card.format(1) * 20_000, "".join(f"<t{k}><u>" for k in range(60)) + "".join(f"<w{k}>x</w{k}>" for k in range(4_000)), "<p>" + "z" * 3_000_000, "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array([9 * k for k in range(len(pages))]), pa.array(pages)], names=["page_id", "page", "html"])
+    seen, sizes, peaks = 0, [], []
+    want = {}
+    for k in (0, 1001):
+        want[k] = [(n, "/".join(p), v, [(st[d][0], st[d - 1][0], d + 1, R._hash(p[: d + 1]), R._hash(p[d + 1 :])) for d in range(max(1, len(st) - R.LEVELS), len(st))]) for n, p, v, st in R.page_values(pages[k])]
+    got = {k: [] for k in want}
+    tracemalloc.start()
+    for lot in R.cell_batches(iter([batch]), names):
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        sizes.append(lot.num_rows)
+        seen += lot.num_rows
+        ids = set(lot.column(0).to_pylist())
+        if ids & set(got):
+            for r in lot.to_pylist():
+                if r["page_id"] in got:
+                    assert r["page"] == 9 * r["page_id"]
+                    got[r["page_id"]].append((r["node"], r["path"], r["value"], [tuple(u.values()) for u in r["up"]]))
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert seen == 1000 * 20 * 4 + 20_000 * 4 + 4_000 + 1
+    assert got == want
+    assert max(sizes) <= R.LOT
+    assert max(peaks) < 60 << 20

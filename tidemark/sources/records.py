@@ -42,6 +42,8 @@ ATTRIBUTES = ("href", "datetime")
 DEEPEST, LEVELS = 128, 8
 #: Records that make a group.
 LEAST = 3
+#: Values, and characters of them and their paths, that are handed on at once; tags of the paths whose hashes are kept.
+LOT, LOT_CHARS, KEPT_TAGS = 2_000, 1 << 20, 200_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<![^<>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -108,6 +110,63 @@ def page_values(text: str) -> Iterator[tuple[int, tuple[str, ...], str, list[tup
     yield from value("#text", text[at:])
 
 
+_UP = pa.struct([("record", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("group", pa.int64()), ("inside", pa.int64())])
+
+
+def cell_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The cells of batches of (key, page, html), in lots: a batch of pages holds thousands of times the rows of a page, and a page has no bound."""
+    hashes: dict[tuple[str, ...], int] = {}
+    tags = 0
+
+    def of(parts: tuple[str, ...]) -> int:
+        nonlocal tags
+        if (found := hashes.get(parts)) is None:
+            tags += len(parts) + 1
+            if tags > KEPT_TAGS:
+                hashes.clear()
+                tags = len(parts) + 1
+            found = hashes[parts] = _hash(parts)
+        return found
+
+    for batch in batches:
+        columns: tuple[list, ...] = ([], [], [], [], [])
+        ends, ups, chars = [0], ([], [], [], [], []), 0
+
+        def lot() -> pa.RecordBatch:
+            nonlocal columns, ends, ups, chars
+            rows, page, node, path, value = columns
+            up = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(ups, _UP, strict=True)], fields=list(_UP)))
+            own = batch.column(0).take(pa.array(rows, pa.int64()))
+            out = pa.RecordBatch.from_arrays([own, pa.array(page, pa.int64()), pa.array(node, pa.int32()), pa.array(path, pa.string()), pa.array(value, pa.string()), up], names=names)
+            columns, ends, ups, chars = ([], [], [], [], []), [0], ([], [], [], [], []), 0
+            return out
+
+        for k in range(batch.num_rows):
+            own = batch.column(1)[k].as_py()
+            for n, parts, found, stack in page_values(batch.column(2)[k].as_py() or ""):
+                path = "/".join(parts)
+                rows, page, node, paths, value = columns
+                rows.append(k)
+                page.append(own)
+                node.append(n)
+                paths.append(path)
+                value.append(found)
+                record, parent, depth, group, inside = ups
+                deep = len(stack)
+                for d in range(max(1, deep - LEVELS), deep):  # the root is nobody's sibling
+                    record.append(stack[d][0])
+                    parent.append(stack[d - 1][0])
+                    depth.append(d + 1)
+                    group.append(of(parts[: d + 1]))
+                    inside.append(of(parts[d + 1 :]))
+                ends.append(len(record))
+                chars += len(path) + len(found)
+                if len(ends) > LOT or chars > LOT_CHARS:
+                    yield lot()
+        if len(ends) > 1:
+            yield lot()
+
+
 def page_cells(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, page, node, path, value, up): one row per value of each page.
 
@@ -116,31 +175,8 @@ def page_cells(df: DataFrame, key: str = "page_id", html: str = "html") -> DataF
     """
     up = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("record", T.IntegerType()), ("parent", T.IntegerType()), ("depth", T.IntegerType()), ("group", T.LongType()), ("inside", T.LongType()))]))
     schema = T.StructType([df.schema[key], T.StructField("page", T.LongType()), T.StructField("node", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("value", T.StringType()), T.StructField("up", up)])
-    arrow_up = pa.list_(pa.struct([("record", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("group", pa.int64()), ("inside", pa.int64())]))
-
-    def run(batches):
-        hashes: dict[tuple[str, ...], int] = {}
-
-        def of(parts: tuple[str, ...]) -> int:
-            if len(hashes) > 100_000:
-                hashes.clear()
-            return hashes[parts] if parts in hashes else hashes.setdefault(parts, _hash(parts))
-
-        for batch in batches:
-            rows, page, node, path, value, ups = [], [], [], [], [], []
-            for k, (own, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for n, parts, found, stack in page_values(text or ""):
-                    rows.append(k)
-                    page.append(own)
-                    node.append(n)
-                    path.append("/".join(parts))
-                    value.append(found)
-                    # The root is nobody's sibling.
-                    ups.append([{"record": stack[d][0], "parent": stack[d - 1][0], "depth": d + 1, "group": of(parts[: d + 1]), "inside": of(parts[d + 1 :])} for d in range(max(1, len(stack) - LEVELS), len(stack))])
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(page, pa.int64()), pa.array(node, pa.int32()), pa.array(path, pa.string()), pa.array(value, pa.string()), pa.array(ups, arrow_up)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return df.select(key, F.xxhash64(F.col(key), F.col(html)).alias("page"), F.col(html)).mapInArrow(run, schema)
+    names = schema.names
+    return df.select(key, F.xxhash64(F.col(key), F.col(html)).alias("page"), F.col(html)).mapInArrow(lambda batches: cell_batches(batches, names), schema)
 
 
 def mined_records(df: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST) -> DataFrame:
